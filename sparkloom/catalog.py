@@ -1,0 +1,4 @@
+"""All queries of the engine's own operators, by name, with the SQL that must give the same rows."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
