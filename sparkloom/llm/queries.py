@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity, url_filter
+from . import decontaminate, language_id, mixing, neighbours, token_output, toxicity, url_filter
 from .store import read
 
 #: host, path, allowed
@@ -17,6 +17,33 @@ URL_RULES = [
 ]
 
 
+#: Largest flattening under which no source is repeated more than this often while none is cut.
+MIX_REPEATS = 1.5
+END_ID = 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(read(spark, sf_dir, "documents"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), entropy=0.97)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -25,9 +52,18 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(read(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_decontamination": op3_decontamination,
+    "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op7_url_filters": op7_url_filters,
+    "op9_token_output": op9_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {}
