@@ -18,9 +18,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import settle
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_~"
 START = "^"
 
@@ -84,8 +86,8 @@ def _grams(df: DataFrame, order: int, *keep: str) -> DataFrame:
 
 def train(labelled: DataFrame, order: int = 3, rare: float = 1 / 2000) -> list[DataFrame]:
     """labelled: s string, allow boolean, n double. One table an order: gram string (context and next character), ratio double."""
-    counts = _grams(labelled.groupBy("s", "allow").agg(F.sum("n").alias("n")), order, "allow", "n").groupBy("gram").agg(
-        F.sum(F.when(F.col("allow"), F.col("n")).otherwise(0.0)).alias("a"), F.sum(F.when(~F.col("allow"), F.col("n")).otherwise(0.0)).alias("r"))
+    counts = settle(_grams(labelled.groupBy("s", "allow").agg(F.sum("n").alias("n")), order, "allow", "n").groupBy("gram").agg(
+        F.sum(F.when(F.col("allow"), F.col("n")).otherwise(0.0)).alias("a"), F.sum(F.when(~F.col("allow"), F.col("n")).otherwise(0.0)).alias("r")), "url-grams")
     symbols = F.explode(F.split(F.lit(ALPHABET), "")).alias("c")
     sums = [F.sum("a").alias("na"), F.sum("r").alias("nr"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("r") > 0).alias("tr")]
     tables: list[DataFrame] = []
@@ -107,7 +109,7 @@ def train(labelled: DataFrame, order: int = 3, rare: float = 1 / 2000) -> list[D
                 return F.when(F.col(total) > 0, (F.col(n) + F.col(types) * F.col(lower)) / (F.col(total) + F.col(types))).otherwise(F.col(lower))
 
             pa, pr = mixed("a", "na", "ta", "qa"), mixed("r", "nr", "tr", "qr")
-        tables.append(table.select("gram", pa.alias("pa"), pr.alias("pr")))
+        tables.append(settle(table.select("gram", pa.alias("pa"), pr.alias("pr")), f"url-model-{k}"))
     return [t.select("gram", F.log(F.col("pa") / F.col("pr")).alias("ratio")) for t in tables]
 
 
@@ -126,8 +128,6 @@ def calibrate(scored: DataFrame, width: float = 0.01) -> float:
     """The lowest threshold whose balanced error over score bins of labelled rows (allow boolean, score double) is within 0.01 of the least: block what looks like known rejections."""
     bin_ = F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("score") / width))).cast("int")
     bins = scored.where("score IS NOT NULL").groupBy(bin_.alias("bin")).agg(F.count_if(F.col("allow")).alias("a"), F.count_if(~F.col("allow")).alias("r"))
-    from pyspark.sql import Window
-
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # 2001 bins at most
     all_ = Window.partitionBy(F.lit(1))
     error = F.coalesce(F.sum("a").over(below), F.lit(0)) / F.greatest(F.sum("a").over(all_), F.lit(1)) + (
@@ -149,7 +149,7 @@ def judge(pages: DataFrame, rules: list[Rule], order: int = 3, rare: float = 1 /
     seeds = seeds.select(_plain(F.col("s")).alias("s"), "allow")
     weight = known.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()["n"]
     labelled = known.unionByName(seeds.withColumn("n", F.lit(max(1.0, weight / (len(ACCEPTED_SEEDS) + len(REJECTED_SEEDS))))))
-    scores = score(base, train(labelled, order, rare))
+    scores = settle(score(base, train(labelled, order, rare)), "url-scores")
     out = base.join(scores, "s", "left")
     limit = calibrate(known.join(scores, "s").select("allow", "score"))
     verdict = F.when(F.coalesce("ruled", F.coalesce(F.col("score"), F.lit(limit)) >= limit), "allow").otherwise("block")
