@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, line_dedup, mixing, neighbours, token_output, toxicity, url_filter
+from . import decontaminate, html_extract, language_id, line_dedup, mixing, neighbours, ngram_join, token_output, toxicity, url_filter
 from .store import read
 
 #: host, path, allowed
@@ -48,6 +48,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(read(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_url_filters": op7_url_filters,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_output": op9_token_output,
