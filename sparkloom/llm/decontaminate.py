@@ -8,7 +8,7 @@ longest stretch with at least 0.8 equal words (`MATCH` against `MISS`) is an
 overlap if it has `least` words. Items of 5 to `SPAN` - 1 words must occur whole; items with fewer words are no
 evidence and are left out.
 
-Documents are scanned once against a bitmap of 2**BITS bits, a fixed size for any
+Documents are scanned once against a Bloom filter of one fixed size for any
 benchmark; what passes it is cut into runs of hits that carry their own words,
 and only these are shuffled to the item windows. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered.
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .kernel import cut_rows, mix64, window_hashes, word_hashes
 from .store import settle
 
@@ -31,7 +32,6 @@ from .store import settle
 SEEDS = ("110110110110", "111011001011", "101101110011", "111100001111")
 SPAN = 12
 SHORTEST = 5
-BITS = 24
 MATCH, MISS = 1, -4
 REACH = 64  # words that a run carries beyond its hits
 
@@ -64,29 +64,6 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, mask[0], np.int32)), pa.array([ids[k].as_py()] * n, ids.type), pa.array(np.arange(n, dtype=np.int32)), pa.array([own.tobytes()] * n, pa.binary())], names=["hash", "mask", "item_id", "at", "words"])
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Bit h mod 2**BITS for each window hash h: partitions give 2**12 pieces, which are merged on the executors."""
-    piece = BITS - 12
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unique(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() & ((1 << BITS) - 1) for b in batches)]))
-        at = np.flatnonzero(np.append(True, np.diff(seen >> piece) != 0)) if len(seen) else []
-        for a, b in zip(at, [*at[1:], len(seen)], strict=True):
-            row = np.zeros(1 << piece, np.uint8)
-            row[seen[a:b] & ((1 << piece) - 1)] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([int(seen[a] >> piece)], pa.int32()), pa.array([np.packbits(row, bitorder="little").tobytes()], pa.binary())], names=["piece", "bits"])
-
-    def merged(table: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
-        return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
-
-    found = windows.select("hash").mapInArrow(bits, "piece int, bits binary").groupBy("piece").applyInArrow(merged, "piece int, bits binary")
-    out = np.zeros((1 << 12, 1 << (piece - 3)), np.uint8)
-    for r in found.collect():  # 2**BITS bits in all
-        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
 def _runs(bitmap, masks: list) -> "callable":
     """doc_id, text -> rows (doc_id, start, words, hits): hits no further apart than REACH share a run."""
 
@@ -98,8 +75,7 @@ def _runs(bitmap, masks: list) -> "callable":
                 at, mask_of, hash_of = [], [], []
                 for mask in masks:
                     h = _windows(words, mask)
-                    low = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
-                    hit = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                    hit = bloom.passes(bits, h)
                     row = np.searchsorted(first, hit, "right") - 1
                     hit = hit[hit + mask[2] <= first[row + 1]]
                     at.append(hit)
@@ -111,7 +87,7 @@ def _runs(bitmap, masks: list) -> "callable":
                 row = np.searchsorted(first, at, "right") - 1
                 cut = np.flatnonzero(np.append(True, (np.diff(at) > REACH) | (np.diff(row) != 0))) if len(at) else []
                 ids = part.column(0)
-                for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
+                for a, b in zip(cut, [*cut[1:], len(at)], strict=False):
                     lo, hi = first[row[a]], first[row[a] + 1]
                     lo, hi = max(lo, at[a] - REACH), min(hi, at[b - 1] + SPAN + REACH)
                     hits = [{"hash": h, "mask": m, "at": p} for h, m, p in zip(hash_of[a:b].tolist(), mask_of[a:b].tolist(), (at[a:b] - lo).tolist(), strict=True)]
@@ -163,7 +139,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, least: int = SPAN) -> D
     windows = benchmark.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(_item_windows, f"hash long, mask int, item_id {item_type}, at int, words binary")
     windows = settle(windows, "item-windows")
     used = {r["mask"] for r in windows.select("mask").distinct().collect()}  # at most as many as masks
-    bitmap = spark.sparkContext.broadcast(_bitmap(windows))
+    bitmap = spark.sparkContext.broadcast(bloom.build(windows, "hash"))
     runs = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(
         _runs(bitmap, [m for m in _masks() if m[0] in used] or _masks()[:1]), f"doc_id {doc_type}, start long, words binary, hits array<struct<hash:long,mask:int,at:long>>")
     runs = settle(runs, "hit-runs")
@@ -179,3 +155,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: int = SPAN)
     """Only the documents with an overlap: doc_id, item_ids (ascending list), n_items, longest (words of the longest overlap)."""
     found = overlaps(documents, benchmark, least).groupBy("doc_id", "item_id").agg(F.max(F.col("to_word") - F.col("from_word")).alias("words"))
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.count("*").alias("n_items"), F.max("words").alias("longest"))
+
+
+def without(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents, all columns, whose id is not in `found`; only rows that a Bloom filter of those ids lets through are shuffled."""
+    bits = bloom.build(found.select(F.xxhash64("doc_id").alias("h")), "h")
+    hashed = documents.withColumn("__h", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")))
+    marked = bloom.maybe(hashed, "__h", bits, "__m").drop("__h")
+    kept = marked.where("__m").drop("__m").join(found, "doc_id", "left_anti")
+    return marked.where("NOT __m").drop("__m").unionByName(kept).select(*documents.columns)
