@@ -146,3 +146,13 @@ def mix(documents: DataFrame, entropy: float | None = None, repeats: float | Non
     counts = settle(token_counts(documents), "mix-counts")
     totals = settle(counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "mix-totals")
     return realise(counts, settle(plan(totals, entropy, repeats, budget), "mix-plan"), seed)
+
+
+def repeat(documents: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The documents, all columns, each row as often as its copies say.
+
+    How often is decided by id and source, so rows that repeat both share it; rows of no copies are left out.
+    """
+    key = mixed.groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s")).agg(F.max("copies").alias("__n"))
+    rows = documents.join(key, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")))
+    return rows.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*documents.columns)
