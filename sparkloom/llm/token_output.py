@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import cut_rows
+from .kernel import cut_rows, span_hashes, word_spans
 from .store import new_path
 
 #: Units kept with their ids in each Python worker: a matter of speed only.
-MEMORY = 350_000
+MEMORY = 500_000
 
 
 def width(vocabulary: int) -> int:
@@ -57,19 +57,41 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return (planes.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32).astype("<u4")
 
 
-def _single_spaced(text: str) -> bool:
-    """All white space is single spaces and line ends between other characters."""
-    words = text.split()
-    gaps = len(words) - 1
-    return len(text) == sum(map(len, words)) + gaps and text.count(" ") + text.count("\n") == gaps
+# Bytes that are white space but neither space nor line end, and which bytes follow the first byte of the others.
+_ODD = np.zeros(256, bool)
+_ODD[[0x00, 0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+_ODD_TWO = (0xC285, 0xC2A0)
+_ODD_THREE = (0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080)
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, 0x0A]] = True
+
+
+def odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows with any white space but single spaces and line ends between other characters."""
+    gap = _GAP[data]
+    at = [np.flatnonzero(_ODD[data])]
+    lead = np.flatnonzero(_LEAD[data])
+    if len(lead):
+        code = np.append(data, [0, 0]).astype(np.int64)
+        code = code[lead] << 16 | code[lead + 1] << 8 | code[lead + 2]
+        at.append(lead[np.isin(code >> 8, _ODD_TWO) | np.isin(code, _ODD_THREE)])
+    twin = np.flatnonzero(gap[1:] & gap[:-1]) + 1
+    at.append(twin[offsets[np.searchsorted(offsets, twin)] != twin] if len(twin) else twin)
+    some = offsets[:-1] < offsets[1:]
+    at += [offsets[:-1][some][gap[offsets[:-1][some]]], offsets[1:][some][gap[offsets[1:][some] - 1]] - 1]
+    odd = np.zeros(len(offsets) - 1, bool)
+    odd[np.searchsorted(offsets, np.concatenate(at), "right") - 1] = True
+    return odd
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE of the `tokenizers` library.
 
-    The library cuts a text into pieces before it merges bytes, and always cuts before a space that stands
-    between two other characters, and around a line end between two such. Where a text has no other white space than these,
-    its ids are those of the units between the cuts, which are looked up, or encoded once; any other text is encoded whole.
+    The library cuts a text into pieces before it merges bytes, and always cuts before a space or line end that stands
+    between two other characters. Where a text has no other white space, its ids are those of the units between these
+    cuts. Each distinct unit of a run of rows is looked up, or encoded once; any other text is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -80,52 +102,69 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character of a piece stands for a byte
+        self.vocabulary = max(vocabulary.values()) + 1
+        self.lengths = np.zeros(self.vocabulary, np.int64)  # bytes of each id: a character of a piece stands for a byte
         for piece, k in vocabulary.items():
             self.lengths[k] = len(piece)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def units(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each unit with its ids. They are encoded as running text; the bytes that ids stand for tell where each unit ends."""
-        for i in range(0, len(units), 4096):
-            own = units[i : i + 4096]
-            texts = [u if u[0] in " \n" else "\n" + u for u in own]
-            texts = [u if u != "\n" else "\n." for u in texts]
-            ids = np.array(self.library.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(t.encode()) for t in texts])) + 1
-            starts = np.append(0, ends[:-1])
-            for u, t, a, b in zip(own, texts, starts.tolist(), ends.tolist(), strict=True):
-                yield u, ids[a + (len(t) > len(u) and u != "\n") : b - (u == "\n")].tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        units: list[list[str]] = []
-        others: list[int] = []
-        for k, t in enumerate(texts):
-            if not t:
-                units.append([])
-            elif "\0" in t or not _single_spaced(t):
-                units.append([])
-                others.append(k)
-            else:
-                units.append(t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
-        missing = set().union(*units) - self.known.keys()
-        if len(self.known) + len(missing) > MEMORY:
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[bytes]) -> None:
+        """Units are encoded as running text; the bytes that ids stand for tell where each unit ends. A unit without a gap before it borrows a line end."""
+        for i in range(0, len(units), 8192):
+            own = units[i : i + 8192]
+            ids = self.whole([b"".join([u if u[0] in b" \n" else b"\n" + u for u in own]).decode()])[0]
+            bare = np.array([u[0] not in b" \n" for u in own])
+            sizes = np.fromiter(map(len, own), np.int64, len(own)) + bare
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
+            starts = np.append(0, ends[:-1]) + bare
+            flat = ids.tobytes()
+            self.known.update(zip(own, [flat[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows, and where each row's ids end."""
+        odd = odd_rows(data, offsets)
+        starts, ends, first = word_spans(data, offsets, ~_GAP)
+        row = np.repeat(np.arange(len(odd)), np.diff(first))
+        plain = ~odd[row]
+        starts, ends, row = starts[plain], ends[plain], row[plain]
+        opens = starts == offsets[row]
+        kind = np.where(opens, 0, data[starts - 1]).astype(np.uint64)  # what stands before: nothing, a space, a line end
+        _, index, place = np.unique(span_hashes(data, starts, ends) + kind, return_index=True, return_inverse=True)
+        flat = data.tobytes()
+        units = [flat[a:b] for a, b in zip((starts[index] - ~opens[index]).tolist(), ends[index].tolist(), strict=True)]
+        if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
-            missing = set().union(*units)
-        again = missing & self.older.keys()
-        self.known.update((u, self.older[u]) for u in again)
-        self.known.update(self.units(list(missing - again)))
-        known = self.known
-        out = [b"".join([known[u] for u in own]) for own in units]
-        for k, ids in zip(others, self.whole([texts[k] for k in others]), strict=True):
-            out[k] = ids
-        return out
+        known, older = self.known, self.older
+        missing = [u for u in units if u not in known]
+        if missing:
+            again = [u for u in missing if u in older]
+            known.update((u, older[u]) for u in again)
+            self._learn([u for u in missing if u not in older])
+        values = [known[u] for u in units]
+        table = np.frombuffer(b"".join(values), "<u4")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        begin = np.cumsum(size) - size
+        each = size[place]
+        until = np.cumsum(each)
+        ids = table[np.repeat(begin[place] - until + each, each) + np.arange(int(until[-1]) if len(until) else 0)]
+        counts = np.bincount(row, each, len(odd)).astype(np.int64)
+        rest = np.flatnonzero(odd)
+        if len(rest):
+            ids = ids.astype("<u4")
+            told = self.whole([flat[offsets[k] : offsets[k + 1]].decode() for k in rest.tolist()])
+            at = np.cumsum(counts)
+            parts, last = [], 0
+            for k, own in zip(rest.tolist(), told, strict=True):
+                parts += [ids[last : at[k]], own]
+                last = at[k]
+                counts[k] = len(own)
+            ids = np.concatenate([*parts, ids[last:]])
+        return ids, np.cumsum(counts)
 
 
 @cache
@@ -140,7 +179,7 @@ def write(documents: DataFrame, tokenizer: str, end: int, path: str, block: int
         T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("bits", T.IntegerType()),
         T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType()),
     ])
-    tail = np.array([end], "<u4").tobytes()
+    tail = np.array([end], "<u4")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -150,21 +189,24 @@ def write(documents: DataFrame, tokenizer: str, end: int, path: str, block: int
         number, held, keys, ends, total = 0, [], [], [], 0
 
         def flush(kind: pa.DataType) -> pa.RecordBatch:
-            payload = pack(np.frombuffer(b"".join(held), "<u4"), bits)
+            payload = pack(np.concatenate(held), bits)
             row = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([bits], pa.int32()), pa.array([keys], pa.list_(kind)), pa.array([ends], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(row, names=schema.names)
 
         for batch in batches:
-            for part, _, _ in cut_rows(batch, "text"):
-                for k, ids in zip(part.column(0).to_pylist(), encoder([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    held.append(ids + tail)
-                    total += len(ids) // 4 + 1
-                    keys.append(k)
+            last = batch.column(0).type
+            for part, data, offsets in cut_rows(batch, "text"):
+                ids, upto = encoder(data, offsets)
+                names, begin = part.column(0).to_pylist(), 0
+                for k, stop in enumerate(upto.tolist()):
+                    held += [ids[begin:stop], tail]
+                    total += stop - begin + 1
+                    begin = stop
+                    keys.append(names[k])
                     ends.append(total)
                     if total >= block:
-                        yield flush(part.schema.field(0).type)
+                        yield flush(last)
                         number, held, keys, ends, total = number + 1, [], [], [], 0
-                last = part.schema.field(0).type
         if keys:
             yield flush(last)
 
