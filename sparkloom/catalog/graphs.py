@@ -95,6 +95,6 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(graph.symmetric(bipartite(spark, sf_dir)))
 
 
-@query(f"SELECT u AS vertex, list(v ORDER BY v) AS neighbours FROM {_BOTH} GROUP BY u")
+@query(f"SELECT u AS vertex, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS neighbours FROM {_BOTH} GROUP BY u")
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.adjacency(spark, graph.symmetric(bipartite(spark, sf_dir)))
+    return graph.adjacency(spark, graph.symmetric(bipartite(spark, sf_dir))).withColumn("neighbours", F.array_join("neighbours", ","))

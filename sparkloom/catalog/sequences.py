@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import monoids
 from ..operators import sequence as seq
 from .base import ORDERS, Registry, orders, read
 
@@ -187,3 +188,11 @@ def upper_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def approximate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.almost_kth(orders(spark, sf_dir), "price", 0.5).select("idx", "side")
+
+
+@query(f"SELECT CAST(bit_or(cents) AS BIGINT) AS v FROM {ORDERS}")
+def reduce_python_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import functools
+    import operator
+
+    return monoids.combined(orders(spark, sf_dir), "cents", "long", lambda s: int(functools.reduce(operator.or_, s.tolist(), 0)), operator.or_, 0)

@@ -132,3 +132,20 @@ def skinny_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("f")) for k, (x, y) in enumerate(((0.0, 0.0), (20.0, 0.0), (10.0, 1.0)))])).alias("q")
     points = base.select("tid", "h", corner).select((F.col("tid") * 3 + F.col("q.k")).alias("pid"), F.col("q.x").alias("x"), (F.col("q.f") * F.col("h")).alias("y"))
     return spatial.skinny(points, base.select("tid", (F.col("tid") * 3).alias("a"), (F.col("tid") * 3 + 1).alias("b"), (F.col("tid") * 3 + 2).alias("c")))
+
+
+_LEVELS = 12
+
+
+def _tree_sql() -> str:
+    """Levels by counts of cells; a cell is there if the one above it is split."""
+    levels = ["l0 AS (SELECT 0 AS level, CAST(0 AS BIGINT) AS c0, CAST(0 AS BIGINT) AS c1, count(*) AS points FROM p)"]
+    for k in range(1, _LEVELS + 1):
+        levels.append(f"l{k} AS (SELECT {k} AS level, a.c0, a.c1, a.points FROM (SELECT CAST(floor(x / 16384 * {2**k}) AS BIGINT) AS c0, CAST(floor(y / 16384 * {2**k}) AS BIGINT) AS c1, count(*) AS points FROM p GROUP BY ALL) a JOIN l{k - 1} b ON b.c0 = a.c0 // 2 AND b.c1 = a.c1 // 2 AND b.points > 16)")
+    union = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(_LEVELS + 1))
+    return f"WITH p AS ({_CUSTOMERS}), {', '.join(levels)} SELECT level, c0, c1, points, points <= 16 OR level = {_LEVELS} AS is_leaf FROM ({union})"
+
+
+@query(_tree_sql())
+def cell_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.cell_tree(_made(spark, sf_dir, _CUSTOMERS), ["x", "y"], 0.0, 16384.0, 16, _LEVELS)

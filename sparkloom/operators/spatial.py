@@ -254,3 +254,33 @@ def skinny(points: DataFrame, tris: DataFrame, bound: float = 30.0) -> DataFrame
     corner = lambda n: points.select(F.col("pid").alias(n), F.col("x").alias(n + "x"), F.col("y").alias(n + "y"))
     shapes = tris.join(corner("a"), "a").join(corner("b"), "b").join(corner("c"), "c")
     return shapes.where(g.min_angle_check(*(g.point(n + "x", n + "y") for n in "abc"), bound)).select("tid")
+
+
+# --- cell trees -----------------------------------------------------------------------------------------
+
+
+def cell_tree(points: DataFrame, axes: list[str], low: float, size: float, leaf: int = 16, deepest: int = 20) -> DataFrame:
+    """level, one cell number an axis (c0, c1, ...), points, is_leaf: the quad- or octree over the cube [low, low + size) an axis.
+
+    A cell with more than `leaf` points is split in halves along each axis, down to `deepest` levels. Each level is one plan over the points still in open cells.
+    """
+    pts = settle(points.select(*[((F.col(a).cast("double") - low) / size).alias(f"x{i}") for i, a in enumerate(axes)]), "tree-points")
+    cells, tree = [f"c{i}" for i in range(len(axes))], None
+    open_ = pts.select("*", *[F.lit(0).cast("long").alias(c) for c in cells])
+    for level in range(deepest + 1):
+        counts = open_.groupBy(*cells).agg(F.count("*").alias("points")).withColumn("is_leaf", (F.col("points") <= leaf) | F.lit(level == deepest))
+        counts = settle(counts.select(F.lit(level).alias("level"), *cells, "points", "is_leaf"), "tree-level")
+        tree = counts if tree is None else tree.unionByName(counts)
+        split = counts.where("NOT is_leaf").select(*cells)
+        if split.isEmpty():
+            break
+        n = 1 << (level + 1)
+        inside = open_.join(split, cells, "left_semi").drop(*cells)
+        open_ = inside.select("*", *[F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(F.col(f"x{i}") * n))).cast("long").alias(c) for i, c in enumerate(cells)])
+        if level % 4 == 3:
+            open_ = settle(open_, "tree-points")
+    return tree
+
+
+def tree_depth(tree: DataFrame) -> DataFrame:
+    return tree.agg(F.max("level").alias("depth"), F.sum(F.when(F.col("is_leaf"), F.col("points"))).alias("points"), F.count_if(F.col("is_leaf")).alias("leaves"))

@@ -38,7 +38,7 @@ def scan(df: DataFrame, value: str, monoid: str, identity, *, idx: str = "idx",
     """df with the prefix (or, backwards, suffix) combination of `value` along `idx`; exclusive scans begin with `identity`."""
     total, combine = MONOIDS[monoid]
     kind = df.schema[value].dataType
-    start = F.lit(identity).cast(kind if monoid != "sum" else kind.simpleString())
+    start = F.lit(identity).cast(kind)
     rows = df.withColumn("__b", F.floor(F.col(idx) / block).cast("long"))
     own = rows.groupBy("__b").agg(total(value).cast(kind).alias("__t"))
     last = own.agg(F.max("__b").alias("m")).first()["m"]
@@ -68,7 +68,7 @@ def range_extremes(df: DataFrame, queries: DataFrame, value: str, *, idx: str =
     top = df.agg(F.max(idx).alias("m")).first()["m"]
     tree, levels = level, 1 if top is None else int(top).bit_length() + 1
     for k in range(1, levels):
-        level = level.groupBy((F.col("node") / 2).cast("long").alias("node")).agg(pick(F.struct("v", "i"), key).alias("x")).select(F.lit(k).alias("level"), "node", "x.v", "x.i")
+        level = level.groupBy(F.shiftright("node", 1).alias("node")).agg(pick(F.struct("v", "i"), key).alias("x")).select(F.lit(k).alias("level"), "node", "x.v", "x.i")
         tree = tree.unionByName(level)
     tree = settle(tree, "block-tree")
     # At level k the open range is [ceil(lo / 2^k), floor((hi + 1) / 2^k)): an odd left end and an odd right end are taken there.
@@ -77,8 +77,8 @@ def range_extremes(df: DataFrame, queries: DataFrame, value: str, *, idx: str =
     parts = settle(parts, "range-queries")
     taken = []
     for k in range(levels):
-        left = (F.floor((F.col(lo) + (1 << k) - 1) / (1 << k))).cast("long")
-        right = F.floor((F.col(hi) + 1) / (1 << k)).cast("long")
+        left = F.shiftright((F.col(lo) + ((1 << k) - 1)).cast("long"), k)
+        right = F.shiftright((F.col(hi) + 1).cast("long"), k)
         own = parts.select("__q", left.alias("a"), right.alias("b")).where("a < b")
         taken.append(own.where(a % 2 == 1).select("__q", F.lit(k).alias("level"), a.alias("node")))
         taken.append(own.where(b % 2 == 1).select("__q", F.lit(k).alias("level"), (b - 1).alias("node")))
