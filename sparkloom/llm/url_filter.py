@@ -125,16 +125,16 @@ def score(urls: DataFrame, tables: list[DataFrame]) -> DataFrame:
 
 
 def calibrate(scored: DataFrame, width: float = 0.01) -> float:
-    """The lowest threshold whose balanced error over score bins of labelled rows (allow boolean, score double) is within 0.01 of the least: block what looks like known rejections."""
+    """The lowest threshold whose balanced error over score bins of labelled rows (allow boolean, score double) is within 0.01 of the least, moved to the middle of the gap below it: block what looks like known rejections."""
     bin_ = F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("score") / width))).cast("int")
     bins = scored.where("score IS NOT NULL").groupBy(bin_.alias("bin")).agg(F.count_if(F.col("allow")).alias("a"), F.count_if(~F.col("allow")).alias("r"))
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # 2001 bins at most
     all_ = Window.partitionBy(F.lit(1))
     error = F.coalesce(F.sum("a").over(below), F.lit(0)) / F.greatest(F.sum("a").over(all_), F.lit(1)) + (
         F.sum("r").over(all_) - F.coalesce(F.sum("r").over(below), F.lit(0))) / F.greatest(F.sum("r").over(all_), F.lit(1))
-    bins = bins.select("bin", error.alias("error"), F.sum("a").over(all_).alias("na"), F.sum("r").over(all_).alias("nr"))
+    bins = bins.select("bin", F.lag("bin").over(Window.orderBy("bin")).alias("under"), error.alias("error"), F.sum("a").over(all_).alias("na"), F.sum("r").over(all_).alias("nr"))
     row = bins.withColumn("least", F.min("error").over(all_)).where("error <= least + 0.01").orderBy("bin").first()
-    return 0.0 if row is None or not row["na"] or not row["nr"] else row["bin"] * width
+    return 0.0 if row is None or not row["na"] or not row["nr"] else (row["bin"] + (row["bin"] if row["under"] is None else row["under"] + 1)) / 2 * width
 
 
 def judge(pages: DataFrame, rules: list[Rule], order: int = 3, rare: float = 1 / 2000, url: str = "url", key: str = "page_id") -> DataFrame:
