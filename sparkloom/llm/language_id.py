@@ -186,22 +186,17 @@ class Judge:
         return [self.names[b] if b >= 0 else "und" for b in best.tolist()], score
 
 
-def identify(documents: DataFrame, learnt: dict[str, list[int]], size: int = SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score for each row, then the columns named in `keep`."""
+def identify(documents: DataFrame, learnt: dict[str, list[int]], size: int = SIZE) -> DataFrame:
+    """doc_id, lang_pred, score for each row."""
     judge = documents.sparkSession.sparkContext.broadcast(Judge(learnt, size))  # `size` numbers a language
-    fields = [documents.schema[c] for c in ("doc_id", *keep)]
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    schema = StructType([fields[0], StructField("lang_pred", StringType()), StructField("score", DoubleType()), *fields[1:]])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _ in cut_rows(batch, "text"):
-                langs, score = judge.value([x or "" for x in part.column(part.schema.get_field_index("text")).to_pylist()])
-                columns = [part.column(0), pa.array(langs, pa.string()), pa.array(score), *(part.column(part.schema.get_field_index(c)) for c in keep)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", *keep])
+                langs, score = judge.value([x or "" for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return documents.select("doc_id", *dict.fromkeys(["text", *keep])).mapInArrow(judged, schema)
+    return documents.select("doc_id", "text").mapInArrow(judged, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def language_id(documents: DataFrame, folds: int = 4, held: int = 2, size: int = SIZE) -> DataFrame:
@@ -209,3 +204,16 @@ def language_id(documents: DataFrame, folds: int = 4, held: int = 2, size: int =
     learnt = profiles(documents.where(fold("doc_id", folds) != held), size)
     out = F.coalesce(fold("doc_id", folds) == held, F.lit(False))
     return identify(documents, learnt, size).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def told(documents: DataFrame, learnt: dict[str, list[int]], size: int = SIZE) -> DataFrame:
+    """The documents, all columns, whose language is told: those that `identify` would call `und` go."""
+    judge = documents.sparkSession.sparkContext.broadcast(Judge(learnt, size))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _ in cut_rows(batch, "text"):
+                langs, _ = judge.value([x or "" for x in part.column(part.schema.get_field_index("text")).to_pylist()])
+                yield part.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+
+    return documents.mapInArrow(kept, documents.schema)
