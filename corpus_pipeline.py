@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, language_id, mixing, ngram_join, token_output
 from sparkloom.llm.queries import END_ID, MIX_REPEATS, tokenizer_path
@@ -12,10 +11,7 @@ from sparkloom.llm.store import read, settle
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, by profiles of all labelled documents; those without a letter (`und`) go."""
-    columns = docs.columns
-    learnt = language_id.profiles(docs.select("lang", "text"))
-    told = language_id.identify(docs.select(*columns), learnt, keep=tuple(c for c in columns if c != "doc_id"))
-    return told.where("lang_pred <> 'und'").select(*columns)
+    return language_id.told(docs, language_id.profiles(docs.select("lang", "text")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
