@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import cut_rows, span_hashes, word_spans
+from .kernel import cut_rows, mix64, span_hashes, word_spans
 from .store import new_path
 
-#: Units kept with their ids in each Python worker: a matter of speed only.
-MEMORY = 500_000
+#: Units kept with their ids in each Python worker, some 40 bytes each: a matter of speed only.
+MEMORY = 1_500_000
 
 
 def width(vocabulary: int) -> int:
@@ -107,23 +107,59 @@ class Encoder:
         self.lengths = np.zeros(self.vocabulary, np.int64)  # bytes of each id: a character of a piece stands for a byte
         for piece, k in vocabulary.items():
             self.lengths[k] = len(piece)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        # Known units by ascending hash, with a second hash, the place of their ids in `ids`, how many these are, and how often they were met.
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.begins, self.sizes, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[bytes]) -> None:
-        """Units are encoded as running text; the bytes that ids stand for tell where each unit ends. A unit without a gap before it borrows a line end."""
+    def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units, and how many each has. They are encoded as running text; the bytes that ids stand for tell where each unit ends.
+
+        A unit without a gap before it borrows a line end.
+        """
+        out, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for i in range(0, len(units), 8192):
             own = units[i : i + 8192]
-            ids = self.whole([b"".join([u if u[0] in b" \n" else b"\n" + u for u in own]).decode()])[0]
             bare = np.array([u[0] not in b" \n" for u in own])
-            sizes = np.fromiter(map(len, own), np.int64, len(own)) + bare
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
-            starts = np.append(0, ends[:-1]) + bare
-            flat = ids.tobytes()
-            self.known.update(zip(own, [flat[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
+            ids = self.whole([b"".join([b"\n" + u if b else u for u, b in zip(own, bare.tolist(), strict=True)]).decode()])[0]
+            upto = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + bare)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), upto) + 1
+            starts = np.append(0, ends[:-1])
+            keep = np.ones(len(ids), bool)
+            keep[starts[bare]] = False  # the borrowed line ends
+            out.append(ids[keep])
+            sizes.append(ends - starts - bare)
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def _look_up(self, keys: np.ndarray, checks: np.ndarray, unit) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each unit begin in `self.ids`, and how many they are; unit(k) is the k-th unit's bytes. Keys ascend."""
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(len(self.keys) - 1, 0))
+        known = (self.keys[near] == keys) & (self.checks[near] == checks) if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            ids, sizes = self._encode([unit(k) for k in new.tolist()])
+            begins = len(self.ids) + np.cumsum(sizes) - sizes
+            self.ids = np.concatenate([self.ids, ids])
+            place = at[new]
+            self.keys, self.checks = np.insert(self.keys, place, keys[new]), np.insert(self.checks, place, checks[new])
+            self.begins, self.sizes, self.met = (np.insert(x, place, v) for x, v in ((self.begins, begins), (self.sizes, sizes), (self.met, 0)))
+            # Where two units share a key the later one stands first, and is found; the other is only encoded again.
+            near = np.searchsorted(self.keys, keys)
+        self.met[near] += 1
+        return self.begins[near], self.sizes[near]
+
+    def _forget(self) -> None:
+        """Keep the units met more than once since the last time."""
+        keep = np.flatnonzero(self.met > 1)
+        keep = keep if len(keep) <= MEMORY // 2 else keep[np.argsort(-self.met[keep], kind="stable")[: MEMORY // 2]]
+        keep.sort()
+        sizes = self.sizes[keep]
+        self.ids = self.ids[np.repeat(self.begins[keep] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+        self.keys, self.checks, self.begins, self.sizes, self.met = self.keys[keep], self.checks[keep], np.cumsum(sizes) - sizes, sizes, np.zeros(len(keep), np.int64)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and where each row's ids end."""
@@ -134,24 +170,17 @@ class Encoder:
         starts, ends, row = starts[plain], ends[plain], row[plain]
         opens = starts == offsets[row]
         kind = np.where(opens, 0, data[starts - 1]).astype(np.uint64)  # what stands before: nothing, a space, a line end
-        _, index, place = np.unique(span_hashes(data, starts, ends) + kind, return_index=True, return_inverse=True)
+        keys, index, place = np.unique(mix64(span_hashes(data, starts, ends) + kind), return_index=True, return_inverse=True)
         flat = data.tobytes()
-        units = [flat[a:b] for a, b in zip((starts[index] - ~opens[index]).tolist(), ends[index].tolist(), strict=True)]
-        if len(self.known) > MEMORY:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        missing = [u for u in units if u not in known]
-        if missing:
-            again = [u for u in missing if u in older]
-            known.update((u, older[u]) for u in again)
-            self._learn([u for u in missing if u not in older])
-        values = [known[u] for u in units]
-        table = np.frombuffer(b"".join(values), "<u4")
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        begin = np.cumsum(size) - size
+        since, until = starts[index] - ~opens[index], ends[index]
+        checks = (span_hashes(data ^ np.uint8(0x5A), *(x[np.argsort(index)] for x in (since, until)))[np.argsort(np.argsort(index))] >> np.uint64(32)).astype(np.uint32) if len(index) else np.zeros(0, np.uint32)
+        if len(self.keys) > MEMORY:
+            self._forget()
+        begin, size = self._look_up(keys, checks, lambda k: flat[since[k] : until[k]])
+        table = self.ids
         each = size[place]
-        until = np.cumsum(each)
-        ids = table[np.repeat(begin[place] - until + each, each) + np.arange(int(until[-1]) if len(until) else 0)]
+        upto = np.cumsum(each)
+        ids = table[np.repeat(begin[place] - upto + each, each) + np.arange(int(upto[-1]) if len(upto) else 0)]
         counts = np.bincount(row, each, len(odd)).astype(np.int64)
         rest = np.flatnonzero(odd)
         if len(rest):
@@ -195,7 +224,7 @@ def write(documents: DataFrame, tokenizer: str, end: int, path: str, block: int
 
         for batch in batches:
             last = batch.column(0).type
-            for part, data, offsets in cut_rows(batch, "text"):
+            for part, data, offsets in cut_rows(batch, "text", 4 << 20):
                 ids, upto = encoder(data, offsets)
                 names, begin = part.column(0).to_pylist(), 0
                 for k, stop in enumerate(upto.tolist()):
