@@ -6,6 +6,7 @@ that task's memory (some hundred bytes a point). Checks of meshes are plans over
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -133,6 +134,17 @@ class Mesh:
         return self.x[a] + (wy * u2 - uy * w2) / d, self.y[a] + (ux * w2 - wx * u2) / d
 
 
+    def steiner(self, t: int, bound: float) -> tuple[float, float]:
+        """The circumcentre, or the nearer point over the shortest side from which that side is seen under the bound: fewer points do then."""
+        px, py = self.centre(t)
+        c = self.corners[t]
+        sides = [(math.hypot(self.x[c[(k + 1) % 3]] - self.x[c[k]], self.y[c[(k + 1) % 3]] - self.y[c[k]]), k) for k in range(3)]
+        short, k = min(sides)
+        mx, my = (self.x[c[k]] + self.x[c[(k + 1) % 3]]) / 2, (self.y[c[k]] + self.y[c[(k + 1) % 3]]) / 2
+        far, near = math.hypot(px - mx, py - my), short / 2 / math.tan(math.radians(bound) / 2) * 0.999
+        return (mx + (px - mx) * near / far, my + (py - my) * near / far) if far > near else (px, py)
+
+
 def triangulate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All coordinates (the points, then RIM vertices around them) and an array of triangles."""
     low, high = np.array([x.min(), y.min()]), np.array([x.max(), y.max()])
@@ -160,7 +172,7 @@ def refined(x: np.ndarray, y: np.ndarray, tris: np.ndarray, bound: float = MIN_A
     side = {(c[k], c[(k + 1) % 3]): (t, k) for t, c in enumerate(mesh.corners) for k in range(3)}
     for (a, b), (t, k) in side.items():
         mesh.beyond[t][k] = side.get((b, a), (-1, 0))[0]
-    limit = max(10 * len(x), 1000) if limit is None else limit
+    limit = max(20 * len(x), 1000) if limit is None else limit
     added = 0
 
     def crowded(a: int, b: int, px: float, py: float) -> bool:
@@ -180,43 +192,50 @@ def refined(x: np.ndarray, y: np.ndarray, tris: np.ndarray, bound: float = MIN_A
         a, b = c[k], c[(k + 1) % 3]
         return add((mesh.x[a] + mesh.x[b]) / 2, (mesh.y[a] + mesh.y[b]) / 2, t, (a, b))
 
-    todo = mesh.alive()
-    while todo:
-        fresh: list[int] = []
-        for t in todo:
-            if mesh.corners[t] is None:
-                continue
+    heap: list[tuple[float, int, tuple[int, int, int]]] = []
+
+    def ask(ts: list[int]) -> None:
+        """Triangles with a crowded boundary side come first, then those of the least angles."""
+        for t in ts:
             c = mesh.corners[t]
-            rim = next((k for k in range(3) if mesh.beyond[t][k] < 0 and crowded(c[k], c[(k + 1) % 3], mesh.x[c[(k + 2) % 3]], mesh.y[c[(k + 2) % 3]])), -1)
-            if rim >= 0:
-                fresh += halve(t, rim)
-                continue
-            if mesh.least_angle(t) >= bound:
-                continue
-            px, py = mesh.centre(t)
-            mesh.last = t
-            at, out = mesh.locate(px, py)
-            if out >= 0:
-                fresh += halve(at, out)
-                fresh.append(t)
-                continue
-            # Boundary sides that the centre would crowd: those of the hole it would make.
-            hole, stack, hit = {at}, [at], None
-            while stack and hit is None:
-                h = stack.pop()
-                hc = mesh.corners[h]
-                for k in range(3):
-                    o = mesh.beyond[h][k]
-                    if o < 0 and crowded(hc[k], hc[(k + 1) % 3], px, py):
-                        hit = (h, k)
-                        break
-                    if o >= 0 and o not in hole and mesh.in_circle(o, px, py):
-                        hole.add(o)
-                        stack.append(o)
-            fresh += halve(*hit) if hit else add(px, py, at)
-            if hit:
-                fresh.append(t)
-        todo = fresh
+            rim = any(mesh.beyond[t][k] < 0 and crowded(c[k], c[(k + 1) % 3], mesh.x[c[(k + 2) % 3]], mesh.y[c[(k + 2) % 3]]) for k in range(3))
+            least = -1.0 if rim else mesh.least_angle(t)
+            if least < bound:
+                heapq.heappush(heap, (least, t, c))
+
+    ask(mesh.alive())
+    while heap:
+        least, t, c = heapq.heappop(heap)
+        if mesh.corners[t] != c:  # no longer there
+            continue
+        if least < 0:
+            rim = next(k for k in range(3) if mesh.beyond[t][k] < 0 and crowded(c[k], c[(k + 1) % 3], mesh.x[c[(k + 2) % 3]], mesh.y[c[(k + 2) % 3]]))
+            ask(halve(t, rim))
+            continue
+        px, py = mesh.steiner(t, bound)
+        mesh.last = t
+        at, out = mesh.locate(px, py)
+        if out >= 0:
+            ask(halve(at, out))
+            if mesh.corners[t] == c:
+                heapq.heappush(heap, (least, t, c))
+            continue
+        # Boundary sides that the new point would crowd: those of the hole it would make.
+        hole, stack, hit = {at}, [at], None
+        while stack and hit is None:
+            h = stack.pop()
+            hc = mesh.corners[h]
+            for k in range(3):
+                o = mesh.beyond[h][k]
+                if o < 0 and crowded(hc[k], hc[(k + 1) % 3], px, py):
+                    hit = (h, k)
+                    break
+                if o >= 0 and o not in hole and mesh.in_circle(o, px, py):
+                    hole.add(o)
+                    stack.append(o)
+        ask(halve(*hit) if hit else add(px, py, at))
+        if mesh.corners[t] == c:
+            heapq.heappush(heap, (least, t, c))
     return np.array(mesh.x), np.array(mesh.y), np.array([mesh.corners[t] for t in mesh.alive()], np.int64)
 
 

@@ -43,18 +43,19 @@ def scan(df: DataFrame, value: str, monoid: str, identity, *, idx: str = "idx",
     own = rows.groupBy("__b").agg(total(value).cast(kind).alias("__t"))
     last = own.agg(F.max("__b").alias("m")).first()["m"]
     if last is not None and last >= block:
-        offsets = scan(own, "__t", monoid, identity, idx="__b", forward=forward, inclusive=False, out="__o", block=block).select("__b", "__o")
+        blocks = scan(own.withColumnRenamed("__b", "__i"), "__t", monoid, identity, idx="__i", forward=forward, inclusive=False, out="__o", block=block)
+        offsets = blocks.select(F.col("__i").alias("__b"), F.col("__o").alias("__off"))
     else:
         way = Window.orderBy("__b")  # at most `block` rows
         way = way.rowsBetween(Window.unboundedPreceding, -1) if forward else way.rowsBetween(1, Window.unboundedFollowing)
-        offsets = own.select("__b", F.coalesce(total("__t").over(way).cast(kind), start).alias("__o"))
+        offsets = own.select("__b", F.coalesce(total("__t").over(way).cast(kind), start).alias("__off"))
     inside = Window.partitionBy("__b").orderBy(idx)
     if forward:
         inside = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     else:
         inside = inside.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
     local = total(value).over(inside).cast(kind)
-    return rows.join(offsets, "__b").withColumn(out, F.coalesce(combine(F.col("__o"), local), F.col("__o"))).drop("__b", "__o")
+    return rows.join(offsets, "__b").withColumn(out, F.coalesce(combine(F.col("__off"), local), F.col("__off"))).drop("__b", "__off")
 
 
 def range_extremes(df: DataFrame, queries: DataFrame, value: str, *, idx: str = "idx", lo: str = "lo", hi: str = "hi", largest: bool = False) -> DataFrame:
