@@ -123,7 +123,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
-def cut_rows(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def cut_rows(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The batch in runs of rows with about `limit` bytes of `column`, each with that column's bytes and offsets."""
     data, offsets = string_bytes(batch.column(batch.schema.get_field_index(column)))
     for i, j in row_slices(offsets, limit):

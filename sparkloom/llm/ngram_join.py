@@ -11,7 +11,8 @@ n - ceil(percent * n / 100) + 1 tokens of both, their prefixes, have a token in
 3. In each posting list the class with the earliest position is the leader; all others are verified against it. That
    joins groups of near copies without their pairs. Then only lists that still hold several components are searched, for pairs
    of different components. Every link between components is found, so the components are those of all links.
-4. A pair is verified on its whole sets if its prefixes also meet under each of the other orders.
+4. A pair is verified on its whole sets if counts of their tokens by class let it link, and its prefixes also meet under each
+   of the other orders.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered; with fewer than `width` words the whole sequence is one
 shingle; without any (null texts too) the set is empty and links with nothing. Rows that repeat an id are
@@ -33,7 +34,7 @@ from .components import components
 from .kernel import cut_rows, mix64, shingle_sets
 from .store import settle
 
-SKETCH, PIECES = 22, 64
+SKETCH, PIECES, CLASSES = 22, 64, 64
 # The seeds that make the other token orders.
 ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -46,11 +47,27 @@ def _signature(tokens: np.ndarray) -> int:
     return int(mix64(tokens + np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).view(np.int64)) if len(tokens) else 0
 
 
+def _counts(tokens: np.ndarray) -> bytes:
+    """How many tokens fall in each of CLASSES classes, by hash: bytes, or 16-bit numbers, or nothing where these would not hold them."""
+    counts = np.bincount((mix64(tokens ^ np.uint64(0x6A09E667F3BCC909)) >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
+    most = int(counts.max())
+    return counts.astype(np.uint8).tobytes() if most < 1 << 8 else counts.astype("<u2").tobytes() if most < 1 << 16 else b""
+
+
+def may_share(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets with these counts can link: they share at most the lesser count of each class."""
+    if not a or not b:
+        return True
+    x, y = (np.frombuffer(c, np.uint8 if len(c) == CLASSES else "<u2").astype(np.int64) for c in (a, b))
+    both = int(np.minimum(x, y).sum())
+    return 100 * both >= percent * (int(x.sum()) + int(y.sum()) - both)
+
+
 def _scan(width: int):
-    """doc_id, text -> rows of documents (doc_id, n, s) and, at a partition's end, pieces of its sketch."""
+    """doc_id, text -> rows of documents (doc_id, n, s, classes) and, at a partition's end, pieces of its sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "s", "piece", "counts"]
+        names = ["doc_id", "n", "s", "classes", "piece", "counts"]
         sketch = np.zeros(1 << SKETCH, np.uint32)
         kind = None
         for batch in batches:
@@ -60,13 +77,13 @@ def _scan(width: int):
                 low = (np.concatenate(sets) & np.uint64((1 << SKETCH) - 1)).astype(np.int64)
                 np.add.at(sketch, low, np.uint32(1)) if len(low) < 1 << 16 else np.add(sketch, np.bincount(low, minlength=1 << SKETCH).astype(np.uint32), out=sketch)
                 k = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_signature(x) for x in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_signature(x) for x in sets], pa.int64()), pa.array([_counts(x) for x in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if kind is not None:
             pieces = sketch.reshape(PIECES, -1)
             used = [k for k in range(PIECES) if pieces[k].any()]
             blobs = [zlib.compress(pieces[k].tobytes(), 1) for k in used]
             k = len(used)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     return rows
 
@@ -148,35 +165,60 @@ class Join:
         self.documents = documents.select("doc_id", "text")
         kind = documents.schema["doc_id"].dataType.simpleString()
         self.spark = documents.sparkSession
-        scanned = settle(self.documents.mapInArrow(_scan(width), f"doc_id {kind}, n long, s long, piece int, counts binary"), "shingle-scan")
-        self.rows = scanned.where("piece IS NULL").select("doc_id", "n", "s")
+        scanned = settle(self.documents.mapInArrow(_scan(width), f"doc_id {kind}, n long, s long, classes binary, piece int, counts binary"), "shingle-scan")
+        self.rows = scanned.where("piece IS NULL").select("doc_id", "n", "s", "classes")
         self.sketch = self.spark.sparkContext.broadcast(_sketch(scanned))
         known = self.rows.where("n > 0 AND doc_id IS NOT NULL")
         self.classes = settle(known.groupBy("s", "n").agg(F.min("doc_id").alias("rep")), "shingle-classes")
+        self.histograms = known.select("s", "classes")
 
     def postings(self) -> DataFrame:
         """token, s, n, at of tokens that several classes are posted under."""
         rows = settle(self.documents.where("doc_id IS NOT NULL").select("text").mapInArrow(_post(self.width, self.percent, self.sketch), "token long, s long, n int, at int"), "postings")
         several = rows.groupBy("token").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a < b").select("token")
-        return settle(rows.join(several, "token", "left_semi").distinct(), "shared-postings")
+        several = settle(several, "shared-tokens")
+        near = bloom.maybe(rows, "token", bloom.build(several, "token"), "near").where("near").drop("near")
+        return settle(near.join(several, "token", "left_semi").distinct(), "shared-postings")
+
+    def _plausible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose class counts let them link. Rows of equal sets repeat here, and are alike; a Bloom filter leaves out sets that are in no pair."""
+        percent = self.percent
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (batch.column(k).to_pylist() for k in (2, 3))
+                got = batch.filter(pa.array([may_share(p, q, percent) for p, q in zip(x, y, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["a", "b"])
+
+        wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+        near = bloom.maybe(self.histograms, "s", bloom.build(wanted, "s"), "asked").where("asked").drop("asked")
+        near = settle(near.dropDuplicates(["s"]), "class-counts")
+        left, right = (near.select(F.col("s").alias(c), F.col("classes").alias("classes_" + c)) for c in "ab")
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "classes_a", "classes_b")
+        return settle(both.mapInArrow(kept, "a long, b long"), "plausible-pairs")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, b (signatures). Those that link, as ids of their classes' representatives: a, b."""
+        """pairs: a, b (signatures; b those that stand in many pairs). Those that link.
+
+        Counts by class leave out most pairs that cannot. The sets of the others' representatives alone are made again, found by a Bloom filter of
+        their ids; each is written once.
+        """
         width, percent = self.width, self.percent
+        pairs = self._plausible(pairs)
         wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-        reps = self.classes.join(wanted, "s", "left_semi").select("rep", F.xxhash64("rep").alias("h"))
-        shared = self.spark.sparkContext.broadcast(bloom.build(reps, "h"))
+        reps = settle(self.classes.join(wanted, "s").select("s", "rep"), "shingle-reps")
+        shared = self.spark.sparkContext.broadcast(bloom.build(reps.select(F.xxhash64("rep").alias("h")), "h"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: set[int] = set()
             for batch in batches:
                 near = bloom.passes(shared.value, batch.column(0).to_numpy().view(np.uint64))
-                for part, data, offsets in cut_rows(batch.take(pa.array(near)), "text"):
-                    found = shingle_sets(data, offsets, width)
-                    yield pa.RecordBatch.from_arrays([part.column(1), pa.array([_signature(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "s", "tokens"])
+                for _, data, offsets in cut_rows(batch.take(pa.array(near)), "text"):
+                    found = [(s, x) for x in shingle_sets(data, offsets, width) for s in (_signature(x),) if s not in done and not done.add(s)]
+                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["s", "tokens"])
 
-        kind = self.documents.schema["doc_id"].dataType.simpleString()
-        fetched = self.documents.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(sets, f"rep {kind}, s long, tokens binary")
-        fetched = settle(fetched.join(self.classes.join(wanted, "s", "left_semi").select("rep", "s"), ["rep", "s"], "left_semi").dropDuplicates(["s"]), "shingle-sets")
+        fetched = self.documents.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(sets, "s long, tokens binary")
+        fetched = settle(fetched, "shingle-sets")
 
         def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -185,30 +227,34 @@ class Join:
                 got = batch.take(pa.array(good, pa.int64()))
                 yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["a", "b"])
 
-        left = fetched.select(F.col("s").alias("a"), F.col("rep").alias("rep_a"), F.col("tokens").alias("tokens_a"))
-        right = fetched.select(F.col("s").alias("b"), F.col("rep").alias("rep_b"), F.col("tokens").alias("tokens_b"))
-        both = pairs.join(left, "a").join(right, "b").select("rep_a", "rep_b", "tokens_a", "tokens_b")
-        return both.mapInArrow(linked, f"a {kind}, b {kind}")
+        def side(column: str) -> DataFrame:
+            asked = pairs.select(F.col(column).alias("s")).distinct()
+            bits = bloom.build(asked, "s")
+            own = bloom.maybe(fetched, "s", bits, "asked").where("asked")  # so each side's sets are shuffled, and no others
+            return own.select(F.col("s").alias(column), F.col("tokens").alias("tokens_" + column))
+
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b")
+        return both.mapInArrow(linked, "a long, b long").distinct()
 
     def components(self) -> DataFrame:
-        """node, root: representatives of classes that link, and the smallest id of their component."""
+        """node, root: signatures of sets that link, and one signature for each component."""
         percent = self.percent
         posted = self.postings()
         early = F.struct((F.col("at") / F.col("n")).alias("r"), "s", "n", "at")
         leaders = posted.groupBy("token").agg(F.min(early).alias("l"))
         stars = posted.join(leaders, "token").where((F.col("s") != F.col("l.s")) & _may_link(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at"), percent))
-        stars = settle(stars.select(F.least("s", "l.s").alias("a"), F.greatest("s", "l.s").alias("b")).distinct(), "star-pairs")
-        linked = settle(self.verified(stars), "star-links")
-        joined = components(linked)
+        stars = settle(stars.select(F.col("s").alias("a"), F.col("l.s").alias("b")).distinct(), "star-pairs")
+        joined = components(settle(self.verified(stars), "star-links"))
 
-        named = posted.join(self.classes.select("s", "rep"), "s").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        named = named.select("token", "s", "n", "at", "rep", F.coalesce("root", "rep").alias("part"))
+        named = posted.join(joined.select(F.col("node").alias("s"), "root"), "s", "left")
+        named = named.select("token", "s", "n", "at", F.coalesce("root", "s").alias("part"))
         open_ = named.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("token")
         live = settle(named.join(open_, "token", "left_semi"), "open-postings")
         other = live.select("token", *[F.col(c).alias(c + "_") for c in ("s", "n", "at", "part")])
         meet = (F.col("s") < F.col("s_")) & (F.col("part") != F.col("part_")) & _may_link(F.col("n"), F.col("at"), F.col("n_"), F.col("at_"), percent)
         pairs = live.alias("p").join(other.alias("q"), (F.col("p.token") == F.col("q.token")) & meet).select(F.col("s").alias("a"), F.col("s_").alias("b")).distinct()
-        pairs = settle(pairs.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
+        tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
         if pairs.isEmpty():
             return joined
         more = settle(self.verified(pairs), "cross-links")
@@ -220,8 +266,10 @@ class Join:
 def link(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     join = Join(documents, width, percent)
-    roots = join.components().select(F.col("node").alias("rep"), "root")
-    of_class = join.classes.join(roots, "rep", "left").select(F.col("s").alias("c_s"), F.col("n").alias("c_n"), F.coalesce("root", "rep").alias("part"))
+    roots = join.components().select(F.col("node").alias("s"), F.col("root").alias("part"))
+    rooted = settle(join.classes.join(roots, "s", "left").select("s", "n", "rep", F.coalesce("part", "s").alias("part")), "rooted-classes")
+    least = rooted.groupBy("part").agg(F.min("rep").alias("least"))
+    of_class = rooted.join(least, "part").select(F.col("s").alias("c_s"), F.col("n").alias("c_n"), F.col("least").alias("part"))
     out = join.rows.join(of_class, (F.col("s") == F.col("c_s")) & (F.col("n") == F.col("c_n")) & (F.col("n") > 0), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
