@@ -149,3 +149,8 @@ def _tree_sql() -> str:
 @query(_tree_sql())
 def cell_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.cell_tree(_made(spark, sf_dir, _CUSTOMERS), ["x", "y"], 0.0, 16384.0, 16, _LEVELS)
+
+
+@query()
+def approximate_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.approximate_forces(_made(spark, sf_dir, _BODIES))

@@ -284,3 +284,85 @@ def cell_tree(points: DataFrame, axes: list[str], low: float, size: float, leaf:
 
 def tree_depth(tree: DataFrame) -> DataFrame:
     return tree.agg(F.max("level").alias("depth"), F.sum(F.when(F.col("is_leaf"), F.col("points"))).alias("points"), F.count_if(F.col("is_leaf")).alias("leaves"))
+
+
+# --- forces by cells --------------------------------------------------------------------------------------
+
+_MOMENTS = ["m", "mx", "my", "mz", "xx", "yy", "zz", "xy", "xz", "yz"]
+
+
+def cell_moments(particles: DataFrame, cells: list[str]) -> DataFrame:
+    """Mass, first and second moments of the particles of each cell."""
+    x, y, z, m = (F.col(c) for c in ("x", "y", "z", "mass"))
+    terms = dict(zip(_MOMENTS, (m, m * x, m * y, m * z, m * x * x, m * y * y, m * z * z, m * x * y, m * x * z, m * y * z), strict=True))
+    return particles.groupBy(*cells).agg(*[F.sum(t).alias(n) for n, t in terms.items()])
+
+
+def merge_moments(moments: DataFrame, cells: list[str]) -> DataFrame:
+    """Moments of the cells one level up: sums, as all moments are about one origin."""
+    return moments.groupBy(*[F.shiftright(c, 1).alias(c) for c in cells]).agg(*[F.sum(n).alias(n) for n in _MOMENTS])
+
+
+def cell_pull(p: g.Point) -> g.Point:
+    """Field at p of a cell's mass and quadrupole about its centre of mass (columns of cell_moments)."""
+    m = F.col("m")
+    com = tuple(F.col(c) / m for c in ("mx", "my", "mz"))
+    s = {a + b: F.col(a + b) - F.col("m" + a) * F.col("m" + b) / m for a, b in (("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z"))}
+    trace = s["xx"] + s["yy"] + s["zz"]
+    q = {k: 3 * v - (trace if k[0] == k[1] else 0) for k, v in s.items()}
+    d = g.sub(com, p)
+    r2 = g.dot(d, d)
+    r = F.sqrt(r2)
+    qd = (q["xx"] * d[0] + q["xy"] * d[1] + q["xz"] * d[2], q["xy"] * d[0] + q["yy"] * d[1] + q["yz"] * d[2], q["xz"] * d[0] + q["yz"] * d[1] + q["zz"] * d[2])
+    along = m / (r2 * r) + 2.5 * g.dot(d, qd) / (r2 * r2 * r2 * r)
+    return tuple(along * x - y / (r2 * r2 * r) for x, y in zip(d, qd, strict=True))
+
+
+def well_separated(target: list[Column], source: list[Column]) -> Column:
+    """Cells of one level that do not touch while their parents do: they meet at this level and at no other."""
+    apart, parents = F.lit(False), F.lit(True)
+    for t, s in zip(target, source, strict=True):
+        apart = apart | (F.abs(t - s) > 1)
+        parents = parents & (F.abs(F.shiftright(t, 1) - F.shiftright(s, 1)) <= 1)
+    return apart & parents
+
+
+def approximate_forces(particles: DataFrame, levels: int | None = None, per_leaf: int = 32) -> DataFrame:
+    """As direct_forces, with far particles taken together by cells of a grid at each level: work grows as n log n.
+
+    Particles in touching cells of the finest level meet directly; all others through the quadrupoles of well-separated cells.
+    """
+    p = particles.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "mass")])
+    box = p.agg(F.count("*").alias("n"), *[f(c).alias(m + c) for c in "xyz" for m, f in (("a", F.min), ("b", F.max))]).first()
+    if not box["n"]:
+        return p.select("id", *[F.lit(0.0).alias(c) for c in ("fx", "fy", "fz")])
+    size = max(box["b" + c] - box["a" + c] for c in "xyz") * (1 + 1e-9) or 1.0
+    levels = max(2, math.ceil(math.log(max(box["n"] / per_leaf, 1), 8))) if levels is None else levels
+    cells = ["c0", "c1", "c2"]
+    top = (1 << levels) - 1
+    at = [F.least(F.lit(top), F.floor((F.col(c) - box["a" + c]) / size * (1 << levels))).cast("long").alias(k) for c, k in zip("xyz", cells, strict=True)]
+    p = settle(p.select("*", *at), "bodies")
+    moments, far = cell_moments(p, cells), None
+    for level in range(levels, 1, -1):
+        moments = settle(moments, "moments")
+        source = [F.col(c) + F.col("o" + c) for c in cells]
+        asked = moments.select(*cells)
+        for c in cells:
+            asked = asked.withColumn("o" + c, F.explode(F.sequence(F.lit(-3), F.lit(3))))
+        asked = asked.where(well_separated([F.col(c) for c in cells], source)).select(*[F.col(c).alias("t" + c) for c in cells], *[s.alias(c) for s, c in zip(source, cells, strict=True)])
+        own = p.select("id", "x", "y", "z", "mass", *[F.shiftright(c, levels - level).alias("t" + c) for c in cells])
+        met = asked.join(moments, cells).drop(*cells).join(own, ["t" + c for c in cells])
+        pull = met.groupBy("id").agg(*[F.sum(f * F.col("mass")).alias(n) for f, n in zip(cell_pull(g.point("x", "y", "z")), ("fx", "fy", "fz"), strict=True)])
+        far = pull if far is None else far.unionByName(pull)
+        moments = merge_moments(moments, cells)
+    near = p
+    for c in cells:
+        near = near.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    other = p.select(*cells, F.col("id").alias("oid"), *[F.col(c).alias("o" + c) for c in ("x", "y", "z", "mass")])
+    d = g.sub(g.point("ox", "oy", "oz"), g.point("x", "y", "z"))
+    r2 = g.dot(d, d)
+    met = near.join(other, cells).where((F.col("id") != F.col("oid")) & (r2 > 0))
+    w = F.col("mass") * F.col("omass") / (r2 * F.sqrt(r2))
+    close = met.groupBy("id").agg(*[F.sum(w * x).alias(n) for x, n in zip(d, ("fx", "fy", "fz"), strict=True)])
+    zero = p.select("id", *[F.lit(0.0).alias(c) for c in ("fx", "fy", "fz")])
+    return zero.unionByName(close).unionByName(far).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("fx", "fy", "fz")])

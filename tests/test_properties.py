@@ -260,3 +260,9 @@ def test_empty_graphs_and_sets(spark):
     assert graph.matching(none).isEmpty() and graph.components(none).isEmpty() and graph.spanning_forest(none).isEmpty()
     assert spatial.hull(spark.createDataFrame([], "pid long, x double, y double")).isEmpty()
     assert sequence.reduce(seq(spark, []), F.col("v"), "sum", 0).first()["v"] == 0
+
+
+def test_cell_forces_are_near_the_direct_sum(spark):
+    bodies = generators.particles(generators.in_sphere(spark, 400, 3))
+    exact, near = (f(bodies).orderBy("id").toPandas()[["fx", "fy", "fz"]].to_numpy() for f in (spatial.direct_forces, lambda b: spatial.approximate_forces(b, 3)))
+    assert np.mean(np.linalg.norm(near - exact, axis=1) / np.linalg.norm(exact, axis=1)) < 5e-3
