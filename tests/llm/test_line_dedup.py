@@ -46,6 +46,13 @@ def test_drops_are_those_of_brute_force(spark):
         assert got == brute(rows)
 
 
+def test_long_lines_take_the_other_way(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "WHOLE", 6)  # so lines of both kinds, and of both at once, occur
+    rows = corpus(4) + corpus(5)
+    got = sorted((r["doc_id"], r["line_no"]) for r in line_dedup.earlier_lines(documents(spark, rows).repartition(4)).distinct().collect())
+    assert got == brute(rows)
+
+
 def test_results_and_odd_rows(spark):
     rows = odd_rows() + [(10, "same words here again today\nkept line"), (11, "kept line\n\nsame words here again now")]
     docs = documents(spark, rows)
