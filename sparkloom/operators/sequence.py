@@ -112,15 +112,13 @@ def mean_relative_error(df: DataFrame, truth: str, guess: str) -> DataFrame:
 
 # --- scans and neighbours ---------------------------------------------------------------------------
 
-scan = blocks.scan
+scan, scans = blocks.scan, blocks.scans
 
 
 def all_scans(df: DataFrame, value: str, monoid: str, identity, idx: str = "idx") -> DataFrame:
     """Forward and backward, exclusive and inclusive: columns fe, fi, be, bi."""
-    out = df
-    for name, forward, inclusive in (("fe", True, False), ("fi", True, True), ("be", False, False), ("bi", False, True)):
-        out = blocks.scan(out, value, monoid, identity, idx=idx, forward=forward, inclusive=inclusive, out=name)
-    return out
+    kinds = {"fe": (True, False), "fi": (True, True), "be": (False, False), "bi": (False, True)}
+    return blocks.scans(df, value, monoid, identity, kinds, idx=idx)
 
 
 def weights(df: DataFrame, weight: Column, idx: str = "idx") -> DataFrame:

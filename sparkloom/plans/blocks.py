@@ -34,28 +34,34 @@ def dense_index(df: DataFrame, *order: Column | str, name: str = "idx") -> DataF
     return rows.join(base, "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__m", "__p", "__i", "__b")
 
 
-def scan(df: DataFrame, value: str, monoid: str, identity, *, idx: str = "idx", forward: bool = True, inclusive: bool = True, out: str = "scan", block: int = BLOCK) -> DataFrame:
-    """df with the prefix (or, backwards, suffix) combination of `value` along `idx`; exclusive scans begin with `identity`."""
+def scans(df: DataFrame, value: str, monoid: str, identity, kinds: dict[str, tuple[bool, bool]], *, idx: str = "idx", block: int = BLOCK) -> DataFrame:
+    """df with several scans of `value` along `idx` at once. kinds: name of the column -> (forward, inclusive); exclusive scans begin with `identity`."""
     total, combine = MONOIDS[monoid]
     kind = df.schema[value].dataType
     start = F.lit(identity).cast(kind)
+    ways = sorted({forward for forward, _ in kinds.values()})
+    name = {True: "__ahead", False: "__behind"}
     rows = df.withColumn("__b", F.floor(F.col(idx) / block).cast("long"))
     own = rows.groupBy("__b").agg(total(value).cast(kind).alias("__t"))
-    last = own.agg(F.max("__b").alias("m")).first()["m"]
-    if last is not None and last >= block:
-        blocks = scan(own.withColumnRenamed("__b", "__i"), "__t", monoid, identity, idx="__i", forward=forward, inclusive=False, out="__o", block=block)
-        offsets = blocks.select(F.col("__i").alias("__b"), F.col("__o").alias("__off"))
-    else:
-        way = Window.orderBy("__b")  # at most `block` rows
-        way = way.rowsBetween(Window.unboundedPreceding, -1) if forward else way.rowsBetween(1, Window.unboundedFollowing)
-        offsets = own.select("__b", F.coalesce(total("__t").over(way).cast(kind), start).alias("__off"))
-    inside = Window.partitionBy("__b").orderBy(idx)
-    if forward:
-        inside = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    last = df.agg(F.max(idx).alias("m")).first()["m"]
+    if last is not None and last // block >= block:
+        above = scans(own.withColumnRenamed("__b", "__i"), "__t", monoid, identity, {f"__o{int(w)}": (w, False) for w in ways}, idx="__i", block=block)
+        offsets = above.select(F.col("__i").alias("__b"), *[F.col(f"__o{int(w)}").alias(name[w]) for w in ways])
     else:
-        inside = inside.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
-    local = total(value).over(inside).cast(kind)
-    return rows.join(offsets, "__b").withColumn(out, F.coalesce(combine(F.col("__off"), local), F.col("__off"))).drop("__b", "__off")
+        order = Window.orderBy("__b")  # at most `block` rows
+        frames = {True: order.rowsBetween(Window.unboundedPreceding, -1), False: Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)}
+        offsets = own.select("__b", *[F.coalesce(total("__t").over(frames[w]).cast(kind), start).alias(name[w]) for w in ways])
+    # A backward frame is a forward one in falling order: frames that begin at the first row are kept up row by row.
+    inside = {True: Window.partitionBy("__b").orderBy(idx), False: Window.partitionBy("__b").orderBy(F.desc(idx))}
+    out = rows.join(offsets, "__b")
+    locals_ = {n: total(value).over(inside[w].rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)).cast(kind) for n, (w, inclusive) in kinds.items()}
+    columns = [F.coalesce(combine(F.col(name[kinds[n][0]]), x), F.col(name[kinds[n][0]])).alias(n) for n, x in locals_.items()]
+    return out.select(*[c for c in df.columns if c not in kinds], *columns)
+
+
+def scan(df: DataFrame, value: str, monoid: str, identity, *, idx: str = "idx", forward: bool = True, inclusive: bool = True, out: str = "scan", block: int = BLOCK) -> DataFrame:
+    """df with the prefix (or, backwards, suffix) combination of `value` along `idx`."""
+    return scans(df, value, monoid, identity, {out: (forward, inclusive)}, idx=idx, block=block)
 
 
 def range_extremes(df: DataFrame, queries: DataFrame, value: str, *, idx: str = "idx", lo: str = "lo", hi: str = "hi", largest: bool = False) -> DataFrame:
