@@ -7,6 +7,7 @@ numpy passes instead of a Python loop per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,9 @@ def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     """Bytes and offsets (int64, one more than rows) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -82,9 +85,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     lens = ends - starts
     first = np.cumsum(lens) - lens
-    within = np.arange(int(lens.sum())) - np.repeat(first, lens)
+    total = int(lens.sum())
+    small = np.int32 if len(data) < 1 << 31 else np.int64
+    within = np.arange(total, dtype=small) - np.repeat(first.astype(small), lens)
     powers = np.cumprod(np.full(int(lens.max()), _BASE, np.uint64))
-    values = _BYTE[data[np.repeat(starts, lens) + within]] * powers[within]
+    values = _BYTE[data[np.repeat(starts.astype(small), lens) + within]]
+    values *= powers[within]
     return mix64(np.add.reduceat(values, first) + lens.astype(np.uint64))
 
 
@@ -123,8 +129,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
-def cut_rows(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def tidy() -> None:
+    """Give freed memory back to the system: workers stay for other stages, and what they hold counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def cut_rows(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The batch in runs of rows with about `limit` bytes of `column`, each with that column's bytes and offsets."""
     data, offsets = string_bytes(batch.column(batch.schema.get_field_index(column)))
     for i, j in row_slices(offsets, limit):
         yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    tidy()

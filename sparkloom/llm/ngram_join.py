@@ -75,7 +75,7 @@ def _scan(width: int):
             for part, data, offsets in cut_rows(batch, "text"):
                 sets = shingle_sets(data, offsets, width)
                 low = (np.concatenate(sets) & np.uint64((1 << SKETCH) - 1)).astype(np.int64)
-                np.add.at(sketch, low, np.uint32(1)) if len(low) < 1 << 16 else np.add(sketch, np.bincount(low, minlength=1 << SKETCH).astype(np.uint32), out=sketch)
+                np.add.at(sketch, low, np.uint32(1))
                 k = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_signature(x) for x in sets], pa.int64()), pa.array([_counts(x) for x in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if kind is not None:
