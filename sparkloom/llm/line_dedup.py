@@ -80,16 +80,19 @@ def _open(n: Column) -> tuple[Column, Column]:
 
 
 def _short_variants(lines: DataFrame) -> DataFrame:
-    """k1, k2, doc_id, line_no, words, n, first_h, last_h -> key, k1, k2, doc_id, line_no, for the places that the shared halves leave open."""
-    n, words = F.col("n"), F.col("words")
+    """k1, k2, doc_id, line_no, hashes (of words), n, first_h, last_h -> key, k1, k2, doc_id, line_no, for the places that the shared halves leave open.
+
+    Plain projections between two explodes, so that all of it is compiled: a lambda would be interpreted for each place.
+    """
+    n, i = F.col("n"), F.col("i")
     low, high = _open(n)
+    places = lines.where(n <= WHOLE + 1).select("k1", "k2", "doc_id", "line_no", "n", "hashes", low.alias("low"), high.alias("high"), F.explode(F.sequence(F.lit(0), n)).alias("i")).where((i >= F.col("low")) | (i <= F.col("high")))
 
-    def key(i: Column, skip: int) -> Column:
-        return F.xxhash64(n - skip, i, F.slice(words, F.lit(1), i), F.slice(words, i + 1 + skip, n))
+    def key(skip: int) -> Column:
+        return F.xxhash64(n - skip, i, F.slice("hashes", F.lit(1), i), F.slice("hashes", i + 1 + skip, n))
 
-    at = lambda last: F.filter(F.sequence(F.lit(0), last), lambda i: (i >= low) | (i <= high))
-    keys = F.concat(F.transform(at(n - 1), lambda i: key(i, 1)), F.transform(at(n), lambda i: key(i, 0)))
-    return lines.where(n <= WHOLE + 1).select(F.explode(keys).alias("key"), "k1", "k2", "doc_id", "line_no")
+    cut = places.select(key(0).alias("key"), "k1", "k2", "doc_id", "line_no")
+    return cut.unionByName(places.where(i < n).select(key(1).alias("key"), "k1", "k2", "doc_id", "line_no"))
 
 
 def _long_variants(lines: DataFrame) -> DataFrame:
@@ -140,7 +143,7 @@ def _near(documents: DataFrame, known: DataFrame) -> DataFrame:
     candidates = settle(candidates, "line-candidates")
     found = _maybe(_lines(documents).select("doc_id", "line_no", "words", *_keys()), "k1", _bits(candidates, "k1")).join(candidates, ["k1", "k2"])
     distinct = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("words").alias("words"), F.first("first_h").alias("first_h"), F.first("last_h").alias("last_h"))
-    distinct = settle(distinct.select("k1", "k2", "words", F.size("words").alias("n"), "first_h", "last_h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "candidate-lines")
+    distinct = settle(distinct.select("k1", "k2", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.size("words").alias("n"), "first_h", "last_h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "candidate-lines")
     variants = _short_variants(distinct).unionByName(_long_variants(distinct.repartition("k1", "k2")))
     keys = settle(variants.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("key"), "shared-variants")
     met = settle(_maybe(variants, "key", _bits(keys, "key")).join(keys, "key"), "met-variants")
