@@ -1,15 +1,16 @@
 """Every registered query against its SQL in DuckDB on the same tables, row for row."""
 
 import math
+import os
 from decimal import Decimal
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from conftest import DATA
 from sparkloom import catalog
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
