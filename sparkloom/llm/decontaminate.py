@@ -1,7 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over a window of `SPAN` words: the words at its 1s are
-hashed, those at its 0s are ignored, so a hit survives substitutions there.
+A seed is a fixed mask over a window of words: the words at its 1s are hashed,
+those at its 0s are ignored, so a hit survives substitutions there. The seeds are
+chosen together so that every overlap (a stretch of at least `SPAN` words on one
+diagonal that begins and ends with equal words, 0.8 of all equal) has a hit of one
+of them inside; a test walks all patterns of equal words to prove it.
 Windows of test items and of documents are joined on (mask, hash). Around each
 hit the words of document and item are compared along the hit's diagonal, and the
 longest stretch with at least 0.8 equal words (`MATCH` against `MISS`) is an
@@ -28,8 +31,8 @@ from . import bloom
 from .kernel import cut_rows, mix64, window_hashes, word_hashes
 from .store import settle
 
-# Seeds of weight 8 over 12 words.
-SEEDS = ("110110110110", "111011001011", "101101110011", "111100001111")
+# Seeds of weight 7 that leave no overlap of SPAN words or more without a hit.
+SEEDS = ("11101111", "1111010011", "10100101111", "11010101011", "110110011001", "111000000010111")
 SPAN = 12
 SHORTEST = 5
 MATCH, MISS = 1, -4
@@ -38,7 +41,7 @@ REACH = 64  # words that a run carries beyond its hits
 
 def _masks() -> list[tuple[int, tuple[int, ...], int]]:
     """Number, positions and width of each mask; the later ones are for items of fewer words than SPAN."""
-    seeds = [(k, tuple(i for i, c in enumerate(s) if c == "1"), SPAN) for k, s in enumerate(SEEDS)]
+    seeds = [(k, tuple(i for i, c in enumerate(s) if c == "1"), len(s)) for k, s in enumerate(SEEDS)]
     return seeds + [(100 + w, tuple(range(w)), w) for w in range(SHORTEST, SPAN)]
 
 
@@ -56,8 +59,8 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for k in range(part.num_rows):
                 own = words[first[k] : first[k + 1]]
                 for mask in masks:
-                    whole = mask[2] < SPAN  # a mask for short items
-                    if len(own) < SHORTEST or (len(own) != mask[2] if whole else len(own) < SPAN):
+                    whole = mask[0] >= len(SEEDS)  # a mask for short items
+                    if len(own) < SHORTEST or (len(own) != mask[2] if whole else len(own) < max(SPAN, mask[2])):
                         continue
                     h = _windows(own, mask)
                     n = len(h)
@@ -68,7 +71,7 @@ def _runs(bitmap, masks: list) -> "callable":
     """doc_id, text -> rows (doc_id, start, words, hits): hits no further apart than REACH share a run."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        bits, widest = bitmap.value, max(m[2] for m in masks)
         for batch in batches:
             for part, data, offsets in cut_rows(batch, "text"):
                 words, first = word_hashes(data, offsets)
@@ -89,7 +92,7 @@ def _runs(bitmap, masks: list) -> "callable":
                 ids = part.column(0)
                 for a, b in zip(cut, [*cut[1:], len(at)], strict=False):
                     lo, hi = first[row[a]], first[row[a] + 1]
-                    lo, hi = max(lo, at[a] - REACH), min(hi, at[b - 1] + SPAN + REACH)
+                    lo, hi = max(lo, at[a] - REACH), min(hi, at[b - 1] + widest + REACH)
                     hits = [{"hash": h, "mask": m, "at": p} for h, m, p in zip(hash_of[a:b].tolist(), mask_of[a:b].tolist(), (at[a:b] - lo).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(int(row[a]), 1), pa.array([int(lo - first[row[a]])], pa.int64()), pa.array([words[lo:hi].tobytes()], pa.binary()), pa.array([hits], pa.list_(pa.struct([("hash", pa.int64()), ("mask", pa.int32()), ("at", pa.int64())])))],
@@ -99,18 +102,16 @@ def _runs(bitmap, masks: list) -> "callable":
 
 
 def longest_overlap(equal: np.ndarray) -> tuple[int, int]:
-    """The longest stretch [a, b) whose MATCH and MISS sum to 0 or more, first of equals, ends trimmed to equal words."""
+    """The longest stretch [a, b) that begins and ends with equal words and whose MATCH and MISS sum to 0 or more, first of equals."""
+    if not equal.any():
+        return 0, 0
     sums = np.append(0, np.cumsum(np.where(equal, MATCH, MISS)))
-    least = np.minimum.accumulate(sums)
-    best = (0, 0)
+    least = np.minimum.accumulate(np.where(equal, sums[:-1], len(equal) + 1))  # over starts at equal words
+    ends = np.flatnonzero(equal) + 1
     # least falls, so the first start that is low enough is found by bisection.
-    start = np.searchsorted(-least, -sums, "left")
-    length = np.arange(len(sums)) - start
-    b = int(length.argmax())
-    if length[b] > 0:
-        hits = np.flatnonzero(equal[start[b] : b])
-        best = (int(start[b] + hits[0]), int(start[b] + hits[-1] + 1)) if len(hits) else best
-    return best
+    start = np.searchsorted(-least, -sums[ends], "left")
+    k = int((ends - start).argmax())
+    return int(start[k]), int(ends[k])
 
 
 def _verify(least: int):

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -81,3 +82,42 @@ def test_bloom_filter_lets_nothing_go(spark):
     bits = bloom.build(df.where("h % 2 = 0"), "h")
     marked = bloom.maybe(df, "h", bits, "m").collect()
     assert all(r["m"] for r in marked if r["h"] % 2 == 0) and sum(r["m"] for r in marked if r["h"] % 2) < 5
+
+
+def test_seeds_hit_every_overlap():
+    """Over all patterns of equal words that avoid the seeds, by the last words alone: from 12 words on none has 0.8 equal, and more words make it worse."""
+    wide = max(map(len, decontaminate.SEEDS))
+    last = np.arange(1 << wide)
+    free = np.ones(len(last), bool)
+    for seed in decontaminate.SEEDS:
+        free &= (last & int(seed, 2)) != int(seed, 2)
+    best = np.where(last == 1, decontaminate.MATCH, -10_000)
+    tops = [decontaminate.MATCH]
+    for _ in range(2, 200):
+        older = np.maximum(best[last >> 1], best[(last >> 1) | (1 << (wide - 1))])
+        best = np.where(free, older + np.where(last & 1, decontaminate.MATCH, decontaminate.MISS), -10_000)
+        tops.append(int(best[1::2].max()))
+    assert max(tops[decontaminate.SPAN - 1 :]) < 0 and max(tops[150:]) < min(tops[:50]) < 0
+
+
+def test_substitutions_meet_brute_force(spark):
+    """Every place of substitutions that leaves 0.8 equal, in passages of 12 words, and many in longer ones."""
+    rng = random.Random(8)
+    bench = [(n, " ".join(words(rng, n))) for n in (12, 14, 15, 16, 20, 25)]
+    rows = []
+    for n, text in bench:
+        places = [c for k in range(n // 5 + 1) for c in itertools.combinations(range(1, n - 1), k)] if n == 12 else [rng.sample(range(1, n - 1), n // 5) for _ in range(60)] + [range(3, n - 1, 4)[: n // 5]]
+        for c in places:
+            own = [f"other{k}" if k in c else w for k, w in enumerate(text.split())]
+            rows.append((n * 1000 + len(rows), " ".join([*words(rng, 5), *own, *words(rng, 5)])))
+    got = {(r["doc_id"], *r["item_ids"], r["longest"]) for r in decontaminate.contaminated(documents(spark, rows), items(spark, bench)).collect()}
+    assert got == {(d, d // 1000, d // 1000) for d, _ in rows}
+
+
+def test_longest_overlap_is_the_longest():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        e = rng.random(rng.integers(0, 25)) < 0.8
+        a, b = decontaminate.longest_overlap(e)
+        score = lambda i, j: np.where(e[i:j], decontaminate.MATCH, decontaminate.MISS).sum()
+        assert b - a == max((j - i for i in range(len(e)) for j in range(i + 1, len(e) + 1) if score(i, j) >= 0 and e[i] and e[j - 1]), default=0)
