@@ -8,8 +8,9 @@ of them inside; a test walks all patterns of equal words to prove it.
 Windows of test items and of documents are joined on (mask, hash). Around each
 hit the words of document and item are compared along the hit's diagonal, and the
 longest stretch with at least 0.8 equal words (`MATCH` against `MISS`) is an
-overlap if it has `least` words. Items of 5 to `SPAN` - 1 words must occur whole; items with fewer words are no
-evidence and are left out.
+overlap if it has `least` words. Items of fewer than `SPAN` words must occur whole, with 0.8 of their words equal,
+whichever these are; they have seeds of their own. So items of 3 or 4 words must occur exactly. Items with fewer
+words are no evidence and are left out.
 
 Documents are scanned once against a Bloom filter of one fixed size for any
 benchmark; what passes it is cut into runs of hits that carry their own words,
@@ -34,15 +35,25 @@ from .store import settle
 # Seeds of weight 7 that leave no overlap of SPAN words or more without a hit.
 SEEDS = ("11101111", "1111010011", "10100101111", "11010101011", "110110011001", "111000000010111")
 SPAN = 12
-SHORTEST = 5
+# For each shorter item by its number of words: seeds of which one ignores all places that may differ.
+SHORT_SEEDS = (
+    "111", "1111",
+    "11110", "11101", "11011", "10111", "01111",
+    "111100", "110011", "001111",
+    "1111100", "1110011", "1001111", "0111110",
+    "11111000", "11000111", "00111110",
+    "111111000", "111000111", "000111111",
+    "1111100000", "1000011110", "0110011001", "0001100111", "1110000110", "1001111000", "0111110000",
+    "11111000000", "00000111110", "11000110001", "10000001111", "00111100001", "01111010000",
+)
+SHORTEST = 3
 MATCH, MISS = 1, -4
 REACH = 64  # words that a run carries beyond its hits
 
 
 def _masks() -> list[tuple[int, tuple[int, ...], int]]:
     """Number, positions and width of each mask; the later ones are for items of fewer words than SPAN."""
-    seeds = [(k, tuple(i for i, c in enumerate(s) if c == "1"), len(s)) for k, s in enumerate(SEEDS)]
-    return seeds + [(100 + w, tuple(range(w)), w) for w in range(SHORTEST, SPAN)]
+    return [(k, tuple(i for i, c in enumerate(s) if c == "1"), len(s)) for k, s in [*enumerate(SEEDS), *enumerate(SHORT_SEEDS, 100)]]
 
 
 def _windows(words: np.ndarray, mask: tuple[int, tuple[int, ...], int]) -> np.ndarray:
@@ -127,6 +138,9 @@ def _verify(least: int):
                 if b - a >= min(least, len(item)):
                     keep.append(k)
                     spans.append((start + lo + a, start + lo + b))
+                elif len(item) < SPAN and hi - lo == len(item) and np.where(own[lo:hi] == item, MATCH, MISS).sum() >= 0:
+                    keep.append(k)
+                    spans.append((start + lo, start + hi))
             got = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([got.column(batch.schema.get_field_index("doc_id")), got.column(batch.schema.get_field_index("item_id")), pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.int64())], names=["doc_id", "item_id", "from_word", "to_word"])
 

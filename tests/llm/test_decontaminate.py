@@ -121,3 +121,19 @@ def test_longest_overlap_is_the_longest():
         a, b = decontaminate.longest_overlap(e)
         score = lambda i, j: np.where(e[i:j], decontaminate.MATCH, decontaminate.MISS).sum()
         assert b - a == max((j - i for i in range(len(e)) for j in range(i + 1, len(e) + 1) if score(i, j) >= 0 and e[i] and e[j - 1]), default=0)
+
+
+def test_short_items_meet_brute_force(spark):
+    """Items of 3 to 11 words with every choice of words that may differ, ends too; one more is no overlap."""
+    rng = random.Random(9)
+    bench = [(n, " ".join(words(rng, n))) for n in range(decontaminate.SHORTEST, decontaminate.SPAN)]
+    rows, leaked = [], set()
+    for n, text in bench:
+        for k in range(n // 5 + 2):
+            for c in itertools.combinations(range(n), k):
+                own = [f"other{i}" if i in c else w for i, w in enumerate(text.split())]
+                rows.append((n * 1000 + len(rows), " ".join([*words(rng, 2), *own, *words(rng, 2)] if len(rows) % 2 else own)))
+                if k <= n // 5:
+                    leaked.add((rows[-1][0], n, n))
+    got = {(r["doc_id"], *r["item_ids"], r["longest"]) for r in decontaminate.contaminated(documents(spark, rows), items(spark, bench)).collect()}
+    assert got == leaked
