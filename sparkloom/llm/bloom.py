@@ -1,4 +1,4 @@
-"""A Bloom filter of one fixed size over 64-bit hashes, built on the executors."""
+"""A Bloom filter over 64-bit hashes for Python workers, built on the executors; its size follows from the number of hashes."""
 
 from __future__ import annotations
 
@@ -9,43 +9,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 26  # 2**BITS bits, 8 MB, whatever is put in: with more it passes more, and never less than it must
-_PIECE = BITS - 12
+LEAST, MOST = 16, 28  # 2**MOST bits, 32 MB: with more than some 10**8 hashes it passes more, and never less than it must
+_PIECES = 1 << 8
 
 
-def places(hashes: np.ndarray) -> list[np.ndarray]:
-    """The three bits of each hash (uint64)."""
-    return [(hashes >> np.uint64(s) & np.uint64((1 << BITS) - 1)).astype(np.int64) for s in (0, 19, 38)]
+def places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The three of 2**bits bits of each hash (uint64)."""
+    return [(hashes >> np.uint64(s) & np.uint64((1 << bits) - 1)).astype(np.int64) for s in (0, 18, 36)]
 
 
-def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def passes(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Positions of the hashes whose three bits are set."""
-    found = np.arange(len(hashes))
+    found, bits = np.arange(len(hashes)), (8 * len(filter_)).bit_length() - 1
     for k in range(3):
-        at = places(hashes[found])[k]
-        found = found[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1]
+        at = places(hashes[found], bits)[k]
+        found = found[(filter_[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1]
     return found
 
 
 def build(df: DataFrame, column: str) -> np.ndarray:
-    """The filter of a long column's values: partitions give pieces, which the executors merge; 8 MB reach the driver."""
+    """The filter of a settled table's long column, sixteen bits a value or so: partitions give pieces, which the executors merge; 32 MB at most reach the driver."""
+    bits = min(MOST, max(LEAST, (16 * df.count()).bit_length()))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.zeros(1 << (BITS - 3), np.uint8)
+        packed = np.zeros(1 << (bits - 3), np.uint8)
         for b in batches:
-            for at in places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
+            for at in places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
                 np.bitwise_or.at(packed, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        packed = packed.reshape(1 << 12, -1)
+        packed = packed.reshape(_PIECES, -1)
         used = np.flatnonzero(packed.any(axis=1))
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([packed[k].tobytes() for k in used], pa.binary())], names=["piece", "bits"])
 
-    def merged(table: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
-        return pa.table({"piece": table.column("piece").combine_chunks()[:1], "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, total = 0, np.zeros(0, np.uint8)
+        for b in batches:
+            for x in b.column("bits"):
+                own = np.frombuffer(x.as_py(), np.uint8)
+                total = total | own if len(total) else own
+            piece = b.column("piece")[0].as_py() if b.num_rows else piece
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["piece", "bits"])
 
     found = df.where(F.col(column).isNotNull()).select(column).mapInArrow(pieces, "piece int, bits binary").groupBy("piece").applyInArrow(merged, "piece int, bits binary")
-    out = np.zeros((1 << 12, 1 << (_PIECE - 3)), np.uint8)
+    out = np.zeros((_PIECES, (1 << (bits - 3)) // _PIECES), np.uint8)
     for r in found.collect():
         out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()

@@ -35,18 +35,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes under a string column, and where each row begins in them (one more than rows); nothing is copied."""
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, places, data = column.buffers()
+    offsets = np.frombuffer(places, kind)[column.offset : column.offset + len(column) + 1] if places is not None else np.zeros(0, kind)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets if len(offsets) else np.zeros(1, kind)
+
+
 def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (int64, one more than rows) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
     if column.null_count:
         column = pc.fill_null(column, "")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    if not len(offsets):
-        offsets = np.zeros(1, np.int64)
+    data, offsets = _buffers(column)
+    offsets = offsets.astype(np.int64)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
@@ -139,8 +143,10 @@ def tidy() -> None:
 
 
 def cut_rows(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """The batch in runs of rows with about `limit` bytes of `column`, each with that column's bytes and offsets."""
-    data, offsets = string_bytes(batch.column(batch.schema.get_field_index(column)))
+    """The batch in runs of rows with about `limit` bytes of `column`, each with that column's bytes and offsets. Runs are cut first, so no copy is larger than a run."""
+    k = batch.schema.get_field_index(column)
+    _, offsets = _buffers(batch.column(k))
     for i, j in row_slices(offsets, limit):
-        yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        part = batch.slice(i, j - i)
+        yield part, *string_bytes(part.column(k))
     tidy()

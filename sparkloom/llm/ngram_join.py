@@ -4,19 +4,21 @@ A document is the set of its distinct `width`-word shingles, as 64-bit hashes. T
 100 * intersection >= percent * union. If they do, then under any order of all tokens the first
 n - ceil(percent * n / 100) + 1 tokens of both, their prefixes, have a token in common.
 
-1. One scan gives each document's size and set signature, and a sketch of 2**SKETCH counts: how
-   often tokens occur, a fixed size for any corpus. Documents with one signature are one class; classes are joined, not documents.
-2. The first order puts tokens of rare counts first (ties by hash). Classes are posted under the tokens of
+1. One scan gives each document's size and set signature, its prefixes under two orders by hash, and a sketch of
+   2**SKETCH counts: how often tokens occur, a fixed size for any corpus. Documents with one signature are one class; classes are joined, not documents.
+2. The main order puts tokens of rare counts first (ties by hash). Classes are posted under the tokens of
    their prefix. A pair can link only if, at its first common token, enough tokens of both are left (position filter).
-3. In each posting list the class with the earliest position is the leader; all others are verified against it. That
+3. In each posting list the class with the earliest position is the leader; all others are candidates with it. That
    joins groups of near copies without their pairs. Then only lists that still hold several components are searched, for pairs
-   of different components. Every link between components is found, so the components are those of all links.
-4. A pair is verified on its whole sets if counts of their tokens by class let it link, and its prefixes also meet under each
-   of the other orders.
+   of different components; a long list is dealt into blocks, and each pair of blocks is a group of its own. Every link between
+   components is found, so the components are those of all links.
+4. A candidate pair goes on only if its prefixes also meet under each of the other orders, and if counts of its tokens by class let
+   it link. Only then are its whole sets made and compared. All of this is done by joins and SQL functions on arrays; only texts to be cut into tokens go through Python.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered; with fewer than `width` words the whole sequence is one
 shingle; without any (null texts too) the set is empty and links with nothing. Rows that repeat an id are
-rows of their own with that id. Rows without an id are given back with their size and no component.
+rows of their own with that id. Rows without an id are given back with their size and no component. A text is one
+set in the memory of a task, however long. An empty table gives no rows. Other columns of the documents are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom
+from . import bits
 from .components import components
 from .kernel import cut_rows, mix64, shingle_sets
-from .store import settle
+from .store import free_name, settle
 
-SKETCH, PIECES, CLASSES = 22, 64, 64
+SKETCH, PIECES, CLASSES = 22, 256, 64
+BLOCK = 512  # postings of a token that one group compares with one another
+SEEN = 1 << 17  # signatures that a task remembers, so as not to post equal sets again: a matter of speed only
 # The seeds that make the other token orders.
 ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -47,27 +51,30 @@ def _signature(tokens: np.ndarray) -> int:
     return int(mix64(tokens + np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).view(np.int64)) if len(tokens) else 0
 
 
-def _counts(tokens: np.ndarray) -> bytes:
-    """How many tokens fall in each of CLASSES classes, by hash: bytes, or 16-bit numbers, or nothing where these would not hold them."""
-    counts = np.bincount((mix64(tokens ^ np.uint64(0x6A09E667F3BCC909)) >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
-    most = int(counts.max())
-    return counts.astype(np.uint8).tobytes() if most < 1 << 8 else counts.astype("<u2").tobytes() if most < 1 << 16 else b""
+def _counts(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens fall in each of CLASSES classes, by hash."""
+    return np.bincount((mix64(tokens ^ np.uint64(0x6A09E667F3BCC909)) >> np.uint64(58)).astype(np.int64), minlength=CLASSES).astype(np.int32)
 
 
-def may_share(a: bytes, b: bytes, percent: int) -> bool:
-    """Whether two sets with these counts can link: they share at most the lesser count of each class."""
-    if not a or not b:
-        return True
-    x, y = (np.frombuffer(c, np.uint8 if len(c) == CLASSES else "<u2").astype(np.int64) for c in (a, b))
-    both = int(np.minimum(x, y).sum())
-    return 100 * both >= percent * (int(x.sum()) + int(y.sum()) - both)
+def _other_prefix(tokens: np.ndarray, seed: np.uint64, percent: int) -> np.ndarray:
+    """The prefix of a set under the order of one seed, 32 bits a token: prefixes that meet still do when cut."""
+    if not len(tokens):
+        return np.zeros(0, np.int32)
+    order, p = mix64(tokens ^ seed), prefix_length(len(tokens), percent)
+    return (order if p >= len(order) else np.partition(order, p - 1)[:p]).astype(np.uint32).view(np.int32)
 
 
-def _scan(width: int):
-    """doc_id, text -> rows of documents (doc_id, n, s, classes) and, at a partition's end, pieces of its sketch."""
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
+
+
+def _scan(width: int, percent: int):
+    """doc_id, text -> rows of documents (doc_id, n, s, classes, first, second) and, at a partition's end, pieces of its sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "s", "classes", "piece", "counts"]
+        names = ["doc_id", "n", "s", "classes", "first", "second", "piece", "counts"]
+        ints = pa.list_(pa.int32())
         sketch = np.zeros(1 << SKETCH, np.uint32)
         kind = None
         for batch in batches:
@@ -77,23 +84,25 @@ def _scan(width: int):
                 low = (np.concatenate(sets) & np.uint64((1 << SKETCH) - 1)).astype(np.int64)
                 np.add.at(sketch, low, np.uint32(1))
                 k = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_signature(x) for x in sets], pa.int64()), pa.array([_counts(x) for x in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+                lists = [_lists([_counts(x) for x in sets], pa.int32()), *(_lists([_other_prefix(x, seed, percent) for x in sets], pa.int32()) for seed in ORDERS)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_signature(x) for x in sets], pa.int64()), *lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if kind is not None:
             pieces = sketch.reshape(PIECES, -1)
-            used = [k for k in range(PIECES) if pieces[k].any()]
-            blobs = [zlib.compress(pieces[k].tobytes(), 1) for k in used]
-            k = len(used)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            for k in np.flatnonzero(pieces.any(axis=1)).tolist():
+                blob = zlib.compress(pieces[k].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *[pa.nulls(1, ints)] * 3, pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=names)
 
     return rows
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
-    def merged(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << SKETCH) // PIECES, np.uint32)
-        for x in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-        return pa.table({"piece": table.column("piece").combine_chunks()[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, total = None, np.zeros((1 << SKETCH) // PIECES, np.uint32)
+        for batch in batches:
+            for x in batch.column("counts"):
+                total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+            piece = batch.column("piece")[0].as_py() if batch.num_rows else piece
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["piece", "counts"])
 
     out = np.zeros((PIECES, (1 << SKETCH) // PIECES), np.uint32)
     pieces = scanned.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(merged, "piece int, counts binary")
@@ -121,6 +130,8 @@ def _post(width: int, percent: int, shared):
                 for tokens in shingle_sets(data, offsets, width):
                     n, s = len(tokens), _signature(tokens)
                     if n and s not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(s)
                         p = prefix_length(n, percent)
                         out.append(tokens[np.argsort(_ranks(tokens, sketch))[:p]])
@@ -135,28 +146,16 @@ def _post(width: int, percent: int, shared):
     return rows
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+
+
 def _may_link(n: Column, at: Column, m: Column, bt: Column, percent: int) -> Column:
     """Length and position filters."""
     left = F.least(n - at, m - bt).cast("long")
     return (100 * left >= percent * (n + m - left)) & (100 * F.least(n, m).cast("long") >= percent * F.greatest(n, m).cast("long"))
 
 
-def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two ascending sets link; the other orders' prefixes are asked first."""
-    x, y = len(a), len(b)
-    if 100 * min(x, y) < percent * max(x, y):
-        return False
-    p, q = prefix_length(x, percent), prefix_length(y, percent)
-    for seed in ORDERS:
-        u, v = mix64(a ^ seed), mix64(b ^ seed)
-        u = u if p >= x else np.partition(u, p - 1)[:p]
-        v = v if q >= y else np.partition(v, q - 1)[:q]
-        if not np.isin(u, v).any():
-            return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (x + y - both)
-
-
 class Join:
     """The steps share the documents' scan; `documents` has doc_id and text."""
 
@@ -165,76 +164,65 @@ class Join:
         self.documents = documents.select("doc_id", "text")
         kind = documents.schema["doc_id"].dataType.simpleString()
         self.spark = documents.sparkSession
-        scanned = settle(self.documents.mapInArrow(_scan(width), f"doc_id {kind}, n long, s long, classes binary, piece int, counts binary"), "shingle-scan")
-        self.rows = scanned.where("piece IS NULL").select("doc_id", "n", "s", "classes")
+        scanned = settle(self.documents.mapInArrow(_scan(width, percent), f"doc_id {kind}, n long, s long, classes array<int>, first array<int>, second array<int>, piece int, counts binary"), "shingle-scan")
+        self.rows = scanned.where("piece IS NULL").select("doc_id", "n", "s")
         self.sketch = self.spark.sparkContext.broadcast(_sketch(scanned))
-        known = self.rows.where("n > 0 AND doc_id IS NOT NULL")
-        self.classes = settle(known.groupBy("s", "n").agg(F.min("doc_id").alias("rep")), "shingle-classes")
-        self.histograms = known.select("s", "classes")
+        self.known = scanned.where("n > 0 AND doc_id IS NOT NULL")
+        self.classes = settle(self.known.groupBy("s", "n").agg(F.min("doc_id").alias("rep")), "shingle-classes")
 
     def postings(self) -> DataFrame:
         """token, s, n, at of tokens that several classes are posted under."""
         rows = settle(self.documents.where("doc_id IS NOT NULL").select("text").mapInArrow(_post(self.width, self.percent, self.sketch), "token long, s long, n int, at int"), "postings")
+        self.sketch.destroy()
         several = rows.groupBy("token").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a < b").select("token")
         several = settle(several, "shared-tokens")
-        near = bloom.maybe(rows, "token", bloom.build(several, "token"), "near").where("near").drop("near")
+        near = bits.table(several, "token").keep(rows, "token")
         return settle(near.join(several, "token", "left_semi").distinct(), "shared-postings")
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose class counts let them link. Rows of equal sets repeat here, and are alike; a Bloom filter leaves out sets that are in no pair."""
-        percent = self.percent
-
-        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, y = (batch.column(k).to_pylist() for k in (2, 3))
-                got = batch.filter(pa.array([may_share(p, q, percent) for p, q in zip(x, y, strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["a", "b"])
+        """The pairs whose prefixes meet under the other orders and whose class counts let them link: they share at most the lesser count of each class.
 
-        wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-        near = bloom.maybe(self.histograms, "s", bloom.build(wanted, "s"), "asked").where("asked").drop("asked")
-        near = settle(near.dropDuplicates(["s"]), "class-counts")
-        left, right = (near.select(F.col("s").alias(c), F.col("classes").alias("classes_" + c)) for c in "ab")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "classes_a", "classes_b")
-        return settle(both.mapInArrow(kept, "a long, b long"), "plausible-pairs")
+        Rows of equal sets repeat here, and are alike; bits leave out sets that are in no pair.
+        """
+        asked = settle(_ends(pairs), "asked-classes")
+        near = bits.table(asked, "s").keep(self.known.select("s", "classes", "first", "second"), "s")
+        near = settle(near.dropDuplicates(["s"]), "class-orders")
+        left, right = (near.select(F.col("s").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("classes", "first", "second")]) for c in "ab")
+        meet = F.arrays_overlap("first_a", "first_b") & F.arrays_overlap("second_a", "second_b")
+        total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
+        both = total(F.zip_with("classes_a", "classes_b", lambda x, y: F.least(x, y)))
+        found = pairs.join(left, "a").join(right, "b").where(meet)
+        found = found.where(100 * both >= self.percent * (total(F.col("classes_a")) + total(F.col("classes_b")) - both))
+        return settle(found.select("a", "b"), "plausible-pairs")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, b (signatures; b those that stand in many pairs). Those that link.
 
-        Counts by class leave out most pairs that cannot. The sets of the others' representatives alone are made again, found by a Bloom filter of
-        their ids; each is written once.
+        The sets of plausible pairs alone are made again, from the texts of their representatives: bits of their ids drop the other texts where they
+        are scanned. Each is written once.
         """
-        width, percent = self.width, self.percent
+        width = self.width
         pairs = self._plausible(pairs)
-        wanted = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-        reps = settle(self.classes.join(wanted, "s").select("s", "rep"), "shingle-reps")
-        shared = self.spark.sparkContext.broadcast(bloom.build(reps.select(F.xxhash64("rep").alias("h")), "h"))
+        wanted = _ends(pairs)
+        reps = settle(self.classes.join(wanted, "s").select(F.col("rep").alias("doc_id")).distinct(), "shingle-reps")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            done: set[int] = set()
             for batch in batches:
-                near = bloom.passes(shared.value, batch.column(0).to_numpy().view(np.uint64))
-                for _, data, offsets in cut_rows(batch.take(pa.array(near)), "text"):
-                    found = [(s, x) for x in shingle_sets(data, offsets, width) for s in (_signature(x),) if s not in done and not done.add(s)]
-                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["s", "tokens"])
-
-        fetched = self.documents.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(sets, "s long, tokens binary")
-        fetched = settle(fetched, "shingle-sets")
+                for _, data, offsets in cut_rows(batch, "text"):
+                    found = shingle_sets(data, offsets, width)
+                    yield pa.RecordBatch.from_arrays([pa.array([_signature(x) for x in found], pa.int64()), _lists([x.view(np.int64) for x in found], pa.int64())], names=["s", "tokens"])
 
-        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, y = (batch.column(k) for k in (2, 3))
-                good = [k for k in range(batch.num_rows) if jaccard_at_least(np.frombuffer(x[k].as_py(), np.uint64), np.frombuffer(y[k].as_py(), np.uint64), percent)]
-                got = batch.take(pa.array(good, pa.int64()))
-                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["a", "b"])
+        texts = bits.table(reps, "doc_id").keep(self.documents, "doc_id").select("text")
+        fetched = settle(texts.mapInArrow(sets, "s long, tokens array<long>"), "shingle-sets")
 
         def side(column: str) -> DataFrame:
-            asked = pairs.select(F.col(column).alias("s")).distinct()
-            bits = bloom.build(asked, "s")
-            own = bloom.maybe(fetched, "s", bits, "asked").where("asked")  # so each side's sets are shuffled, and no others
-            return own.select(F.col("s").alias(column), F.col("tokens").alias("tokens_" + column))
+            asked = settle(pairs.select(column).distinct(), "asked-sets")
+            own = bits.table(asked, column).keep(fetched.select(F.col("s").alias(column), F.col("tokens").alias("tokens_" + column)), column)  # so each side's sets are shuffled, and no others
+            return own
 
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b")
-        return both.mapInArrow(linked, "a long, b long").distinct()
+        both = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
+        found = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
+        return found.where(100 * F.col("both") >= self.percent * (F.size("tokens_a") + F.size("tokens_b") - F.col("both"))).select("a", "b").distinct()
 
     def components(self) -> DataFrame:
         """node, root: signatures of sets that link, and one signature for each component."""
@@ -248,11 +236,14 @@ class Join:
 
         named = posted.join(joined.select(F.col("node").alias("s"), "root"), "s", "left")
         named = named.select("token", "s", "n", "at", F.coalesce("root", "s").alias("part"))
-        open_ = named.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("token")
-        live = settle(named.join(open_, "token", "left_semi"), "open-postings")
-        other = live.select("token", *[F.col(c).alias(c + "_") for c in ("s", "n", "at", "part")])
-        meet = (F.col("s") < F.col("s_")) & (F.col("part") != F.col("part_")) & _may_link(F.col("n"), F.col("at"), F.col("n_"), F.col("at_"), percent)
-        pairs = live.alias("p").join(other.alias("q"), (F.col("p.token") == F.col("q.token")) & meet).select(F.col("s").alias("a"), F.col("s_").alias("b")).distinct()
+        open_ = named.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x < y").select("token", "blocks")
+        live = settle(named.join(open_, "token"), "open-postings")
+        # A posting stands in its own block, and meets every block of its list: groups are pairs of blocks, low and high.
+        live = live.withColumn("own", F.pmod(F.xxhash64("s"), "blocks").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        live = live.select("token", "s", "n", "at", "part", "own", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"))
+        left, right = live.where("own = low"), live.where("own = high").select("token", "low", "high", *[F.col(c).alias(c + "_") for c in ("s", "n", "at", "part")])
+        meet = ((F.col("low") < F.col("high")) | (F.col("s") < F.col("s_"))) & (F.col("part") != F.col("part_")) & _may_link(F.col("n"), F.col("at"), F.col("n_"), F.col("at_"), percent)
+        pairs = left.join(right, ["token", "low", "high"]).where(meet).select(F.least("s", "s_").alias("a"), F.greatest("s", "s_").alias("b")).distinct()
         tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
         if pairs.isEmpty():
@@ -278,16 +269,16 @@ def link(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 def keep_first(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, without those that link, over any number of links, to one of a smaller id.
 
-    Rows without an id stay; of rows that repeat an id one stays. Only rows that a Bloom filter of the ids to drop lets
+    Rows without an id stay; of rows that repeat an id one stays. Only rows that the bits of the ids to drop let
     through are shuffled.
     """
     linked = settle(link(documents, width, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("part")), "near-copies")
-    odd = linked.where("part <> doc_id OR rows > 1")
-    bits = bloom.build(odd.select(F.xxhash64("doc_id").alias("h")), "h")
-    marked = bloom.maybe(documents.withColumn("__h", F.xxhash64("doc_id")).withColumn("__h", F.when(F.col("doc_id").isNotNull(), F.col("__h"))), "__h", bits, "__m").drop("__h")
-    plain = marked.where("NOT __m").drop("__m")
-    gone, twice = linked.where("part <> doc_id").select("doc_id"), linked.where("part = doc_id AND rows > 1").select("doc_id")
-    asked = marked.where("__m").drop("__m").join(gone, "doc_id", "left_anti")
+    odd = settle(linked.where("part <> doc_id OR rows > 1"), "odd-copies")
+    mark = free_name(documents)
+    marked = bits.table(odd, "doc_id").flag(documents, "doc_id", mark)
+    plain = marked.where(~F.col(mark)).drop(mark)
+    gone, twice = odd.where("part <> doc_id").select("doc_id"), odd.where("part = doc_id AND rows > 1").select("doc_id")
+    asked = marked.where(F.col(mark)).drop(mark).join(gone, "doc_id", "left_anti")
     single = asked.join(twice, "doc_id", "left_anti")
     repeated = asked.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return plain.unionByName(single).unionByName(repeated).select(*documents.columns)

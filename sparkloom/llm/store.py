@@ -53,6 +53,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(df: DataFrame, name: str = "mark") -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def fold(column, parts: int):
     """crc32 of the value as text, modulo `parts`."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
