@@ -8,11 +8,14 @@ tree, the likeliest labelling in which every path from the root runs outside*,
 inside*, left-out*: so nothing outside the main text has main text both above and below it, and what is left out stays out
 with all it holds. It is exact, by one pass up and one pass down the tree.
 
-The trees are fitted here, on pages made by `training_page` from a seed (layouts, names and noise vary; their
-node labels are known), so the model is the same wherever it is fitted.
+The trees are fitted here, on pages made by `training_page` from a seed (layouts, names and noise vary, down to bare
+paragraphs and loose text; their node labels are known), so the model is the same wherever it is fitted.
 
 Null and empty pages give empty text. A page without any element is main text as a whole.
-Scripts, styles, templates, comments and titles never are. White space, also within references, is that of str.split.
+Scripts, styles, templates, embedded frames, comments and titles never are; what other elements hold is judged by the trees. A script or style that
+is not closed goes on to the end of the page, as in browsers; of other such elements only the tag is passed over. White space, also within references, is that of
+str.split; a reference does not go on behind a tag. A page is parsed and labelled whole in one task, in time and memory in proportion to its length, however
+deep it is. Repeated rows are rows of their own; an empty table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from .kernel import cut_rows
 
 # Fixed values of HTML: elements without content, with raw content, and that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg select object".split())
+RAW = frozenset("script style template iframe textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -47,8 +50,8 @@ ENDS_P = BLOCK - {"li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "tfoot",
 TAGS = "article main section div p heading list item nav header footer aside form control table figure quote pre link inline body root other".split()
 _GROUP = {
     "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "ul": "list", "ol": "list", "dl": "list", "menu": "list",
-    "li": "item", "dt": "item", "dd": "item", "button": "control", "label": "control", "input": "control", "fieldset": "form", "table": "table", "tbody": "table", "thead": "table",
-    "tr": "table", "td": "table", "th": "table", "figcaption": "figure", "blockquote": "quote", "code": "pre", "a": "link", "html": "body",
+    "li": "item", "dt": "item", "dd": "item", "button": "control", "label": "control", "select": "control", "option": "control", "textarea": "control", "fieldset": "form", "table": "table", "tbody": "table", "thead": "table",
+    "tr": "table", "td": "table", "th": "table", "figcaption": "figure", "blockquote": "quote", "code": "pre", "a": "link",
     **dict.fromkeys("b i em strong span u s small sub sup br img cite q mark abbr time font".split(), "inline"),
 }
 _TAG = {t: k for k, t in enumerate(TAGS)}
@@ -69,12 +72,12 @@ _LETTERS = re.compile(r"[.!?,;:]")
 
 
 class Page:
-    """Nodes in document order and the pieces of text between tags."""
+    """Nodes in document order and the pieces of text between tags. Node 0 is the root, and node 1 the body, which a page has even if it does not say so."""
 
-    __slots__ = ("parent", "tag", "name", "good", "bad", "node", "piece", "block")
+    __slots__ = ("parent", "depth", "tag", "name", "good", "bad", "node", "piece", "block")
 
     def __init__(self):
-        self.parent, self.tag, self.name, self.good, self.bad = [-1], [_TAG["root"]], [""], [0], [0]
+        self.parent, self.depth, self.tag, self.name, self.good, self.bad = [-1, 0], [0, 1], [_TAG["root"], _TAG["body"]], ["", "body"], [0, 0], [0, 0]
         self.node: list[int] = []  # of each piece of text: its node, the text, and the number of its block
         self.piece: list[str] = []
         self.block: list[int] = []
@@ -92,8 +95,9 @@ def parse(source: str) -> Page:
     body, rest = source[:last], source[last:]
     cut = re.search(r"<[a-zA-Z/!?]", rest)
     rest = rest[: cut.start()] if cut else rest
-    stack, at, block, end = [0], 0, 0, len(body)
+    stack, at, block, end = [0, 1], 0, 0, len(body)
     names = page.name
+    unclosed: set[str] = set()
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
@@ -116,7 +120,9 @@ def parse(source: str) -> Page:
         if closing:
             if name in BLOCK:
                 block += 1
-            for k in range(len(stack) - 1, 0, -1):
+            if name in ("html", "body"):
+                continue
+            for k in range(len(stack) - 1, 1, -1):
                 if names[stack[k]] == name:
                     del stack[k:]
                     break
@@ -125,12 +131,19 @@ def parse(source: str) -> Page:
             continue
         if name in RAW:
             if not attrs.endswith("/"):
-                close = _RAW_END[name].search(body, at)
-                at = close.end() if close else end
-                rest = rest if close else ""
+                close = None if name in unclosed else _RAW_END[name].search(body, at)
+                if close:
+                    at = close.end()
+                elif name in ("script", "style"):
+                    at, rest = end, ""
+                else:
+                    unclosed.add(name)
             continue
         if name in BLOCK:
             block += 1
+        if name in ("html", "body"):
+            page.good[1], page.bad[1] = (a + b for a, b in zip((page.good[1], page.bad[1]), _attributes.__wrapped__(attrs), strict=True))
+            continue
         if name in ENDS_P:
             for k in range(len(stack) - 1, 0, -1):
                 if names[stack[k]] == "p":
@@ -151,6 +164,7 @@ def parse(source: str) -> Page:
                 text(" ")
             continue
         good, bad = _attributes(attrs) if len(attrs) > 4 and len(attrs) < 400 else (0, 0) if len(attrs) <= 4 else _attributes.__wrapped__(attrs)
+        page.depth.append(page.depth[stack[-1]] + 1)
         page.parent.append(stack[-1])
         page.tag.append(_TAG.get(name, _TAG["other"]))
         page.name.append(name)
@@ -169,6 +183,12 @@ FEATURES = (
 )
 
 
+def by_depth(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, from the roots down."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(depth) else []
+
+
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A row of features for each node of all pages; and parents (or -1), depths and first nodes of pages."""
     sizes = np.array([len(p.parent) for p in pages])
@@ -179,16 +199,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     root = parent < 0
     parent = np.where(root, -1, parent + np.repeat(first, sizes))
     up = np.where(root, np.arange(n), parent)
-    depth = np.zeros(n, np.int64)
-    at = up.copy()
-    while True:
-        more = at != up[at]
-        step = ~root[at] | more
-        if not step.any():
-            break
-        depth += ~root[at]
-        at = up[at]
-    depth += 0
+    depth = flat("depth")
     pieces = [x for p in pages for x in p.piece]
     node = np.array([x + f for p, f in zip(pages, first.tolist(), strict=True) for x in p.node], np.int64)
     chars, words, stops = (np.bincount(node, np.array(v, float), n) if len(pieces) else np.zeros(n) for v in ([len(x) for x in pieces], [x.count(" ") + 1 for x in pieces], [x.count(".") + x.count(",") for x in pieces]))
@@ -197,7 +208,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     counts = np.stack([np.ones(n), chars, words, stops, linked, (tag == _TAG["p"]).astype(float), (tag == _TAG["heading"]).astype(float), (tag == _TAG["item"]).astype(float), bad, good], axis=1)
     total = counts.copy()
     link_below = np.zeros(n)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
+    levels = by_depth(depth)
     for rows in levels[:0:-1]:
         np.add.at(total, up[rows], total[rows])
     above_good, above_bad = good.copy(), bad.copy()
@@ -234,7 +245,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 class Trees:
     """Boosted regression trees of one depth for the logistic loss, on binned features."""
 
-    def __init__(self, depth: int = 5, rounds: int = 50, rate: float = 0.25, bins: int = 24, ridge: float = 1.0):
+    def __init__(self, depth: int = 5, rounds: int = 60, rate: float = 0.25, bins: int = 24, ridge: float = 1.0):
         self.depth, self.rounds, self.rate, self.bins, self.ridge = depth, rounds, rate, bins, ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
@@ -296,7 +307,7 @@ def decode(odds: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarra
     """Nodes that are inside, in the likeliest labelling whose paths run outside*, inside*, left-out*."""
     yes, no = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
     inside, out, left = yes.copy(), no.copy(), no.copy()
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if len(odds) else []
+    levels = by_depth(depth)
     for rows in levels[:0:-1]:
         up = parent[rows]
         np.add.at(left, up, left[rows])
@@ -310,20 +321,17 @@ def decode(odds: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarra
 
 
 def assemble(page: Page, inside: np.ndarray) -> str:
-    if len(page.parent) == 1:  # no element at all
-        inside = np.ones(1, bool)
-    blocks: list[str] = []
-    last, parts = -1, []
+    if len(page.parent) == 2:  # no element at all
+        inside = np.ones(2, bool)
+    out: list[str] = []
+    last = -1
     for node, piece, block in zip(page.node, page.piece, page.block, strict=True):
         if block != last:
-            if parts:
-                blocks.append("".join(parts))
-            last, parts = block, []
+            out.append(" ")
+            last = block
         if inside[node]:
-            parts.append(piece)
-    if parts:
-        blocks.append("".join(parts))
-    return " ".join(_html.unescape(" ".join(blocks)).split())
+            out.append(_html.unescape(piece) if "&" in piece else piece)
+    return " ".join("".join(out).split())
 
 
 class Extractor:
@@ -372,12 +380,12 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
         return f"<{t}{attr('nav', 'menu', 'navbar', 'navigation')}>{'<ul>' if t != 'ul' else ''}{links(3, 9)}{'</ul>' if t != 'ul' else ''}</{t}>"
 
     def head() -> str:
-        t = rng.choice(["header", "header", "div"])
+        t = rng.choice(["header", "header", "div"]) if named else "header"  # else nothing would tell it from a story's heading
         inner = rng.choice([f"<a href='/'>{words(1, 3)}</a>", f"<h2>{words(1, 3)}</h2>", f"<p>{words(2, 6)}</p>", f"<h1>{words(1, 3)}</h1>"])
         return f"<{t}{attr('header', 'masthead', 'topbar')}>{inner}{menu() if rng.random() < 0.5 else ''}</{t}>"
 
     def foot() -> str:
-        t = rng.choice(["footer", "footer", "footer", "div"])
+        t = rng.choice(["footer", "footer", "footer", "div"]) if named else "footer"
         inner = rng.choice([f"&copy; {words(1, 3)} &middot; {sentences(1, 4)}", f"<p>{sentences(1, 2)}</p><ul>{links(2, 5)}</ul>", f"<p>&copy; {words(2, 5)}</p>", f"<a href='/x'>{word()}</a> {words(2, 9)}."])
         return f"<{t}{attr('footer', 'foot', 'bottom', 'copyright')}>{inner}</{t}>"
 
@@ -398,6 +406,13 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
         inner = "".join(rng.choice([lambda: f"<h3>{words(1, 3)}</h3><ul>{links(2, 6)}</ul>", lambda: f"<h3>{words(1, 3)}</h3><p>{sentences(1, 3)}</p>", advert, form])() for _ in range(rng.randint(1, 3)))
         return f"<{t} class='sidebar'>{inner}</{t}>" if t == "div" else f"<{t}{attr('sidebar', 'rail', 'widget')}>{inner}</{t}>"
 
+    def stray() -> str:
+        """What a page holds besides: fallbacks, pictures, choices."""
+        return rng.choice([
+            lambda: f"<noscript>{sentences(1, 1)}</noscript>", lambda: f"<select><option>{word()}</option><option>{word()}</option></select>", lambda: f"<svg><title>{word()}</title><text>{word()}</text></svg>",
+            lambda: f"<iframe src=x>{sentences(1, 1)}</iframe>", lambda: "<img src=x>", lambda: "<hr>", lambda: f"<form><textarea>{words(1, 4)}</textarea><button>{word()}</button></form>", lambda: f"<button>{words(1, 2)}</button>",
+        ])()
+
     def share() -> str:
         return f'<div class="{rng.choice(["share", "social", "related", "tags", "breadcrumb"])}"><ul>{links(2, 5)}</ul></div>'
 
@@ -414,6 +429,9 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
         said.append(text)
         return " ".join(MARK + w for w in text.split())
 
+    def heading(t: str, text: str) -> str:
+        return f"<{t}><a href='/{word()}'>{kept(text)}</a></{t}>" if rng.random() < 0.12 else f"<{t}>{kept(text)}</{t}>"
+
     def paragraph() -> str:
         kind = rng.random()
         if kind < 0.72:
@@ -425,7 +443,7 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
                 text = text.replace(" ", f' <a href="/{word()}">', 1).rstrip() + "</a>" if " " in text and "<" not in text else text
             return f"<p>{text}" + ("</p>" if rng.random() < 0.85 else "")
         if kind < 0.8:
-            return f"<h2>{kept(words(2, 6))}</h2>"
+            return heading("h2", words(1, 6))
         if kind < 0.86:
             return "<ul>" + "".join(f"<li>{kept(sentences(1, 2))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
         if kind < 0.9:
@@ -436,15 +454,47 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
             return f"<figure><img src=x><figcaption>{kept(words(3, 9))}</figcaption></figure>"
         return "<table>" + "".join(f"<tr><td>{kept(words(1, 3))}</td><td>{kept(words(1, 3))}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
 
+    def loose() -> str:
+        """A paragraph without an element of its own, or in one that says little."""
+        text = kept(sentences(1, 5))
+        if rng.random() < 0.3:
+            a, _, b = text.partition(" ")
+            text = f"<{(t := rng.choice('b i em strong span a'.split()))}>{a}</{t}> {b}"
+        return rng.choice([f"{text}<br><br>", f"{text}<br>", f"<div>{text}</div>", f"<span>{text}</span><br>", f"{text}<p>", f"<font>{text}</font><hr>", f"<center>{text}</center>"])
+
+    def bare() -> str:
+        """A page, or a piece of one, with little or nothing around its text."""
+        headline = heading(rng.choice(["h1", "h1", "h2", "h3"]), words(1, 8)) if rng.random() < 0.5 else ""
+        one = rng.choice([paragraph, paragraph, loose, lambda: f"<p>{kept(sentences(1, 3))}</p>", lambda: kept(sentences(1, 4)) + " "])
+        parts = [headline, *[one() if rng.random() < 0.9 else paragraph() for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 9]))]]
+        if rng.random() < 0.15:
+            parts.insert(rng.randrange(len(parts) + 1), stray())
+        if rng.random() < 0.06:  # a page of a word or two
+            said.clear()
+            parts = [f"<p>{kept(words(1, 3) + '.')}</p>"]
+        inner = "".join(parts)
+        t = rng.choice(["", "", "", "article", "main", "div", "section", "center", "span", "blockquote", "td"])
+        if t == "td":
+            inner = f"<table><tr>{'<td>' + links(2, 5).replace('li>', 'div>') + '</td>' if rng.random() < 0.6 else ''}<td>{inner}</td></tr></table>"
+        elif t:
+            inner = f"<{t}{attr('content', 'text', 'post', 'article', 'main') if rng.random() < 0.3 else ''}>{inner}</{t}>"
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                inner = f"<div>{inner}</div>"
+        if rng.random() < 0.35:
+            inner = rng.choice([head, menu, advert, notice, lambda: f"<header><h1>{words(1, 4)}</h1></header>"])() + inner
+        if rng.random() < 0.35:
+            inner += rng.choice([foot, foot, comments, share, form, side, advert])()
+        return rng.choice([inner, inner, f"<html><body>{inner}</body></html>", f"<body>{inner}", f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{inner}</body></html>"])
+
     def story() -> str:
         t = rng.choice(["article", "article", "article", "main", "div", "section"])
-        parts = [f"<h1>{kept(words(3, 10))}</h1>"] if rng.random() < 0.85 else []
+        parts = [heading("h1", words(2, 10))] if rng.random() < 0.85 else []
         if rng.random() < 0.15:
             parts.insert(0, share())
         for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 14, 25])):
             parts.append(paragraph())
             if rng.random() < 0.06:
-                parts.append(rng.choice([advert, share, notice, form])())
+                parts.append(rng.choice([advert, share, notice, form, stray])())
         inner = "".join(parts)
         if rng.random() < 0.25:
             inner = f"<div{attr('content', 'body', 'text', 'entry-content')}>{inner}</div>"
@@ -455,6 +505,8 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
         names = attr("article", "content", "post", "entry", "story", "main") if t in ("div", "section") else rng.choice(["", attr("post", "content")])
         return f"<{t}{names}>{inner}</{t}>"
 
+    if rng.random() < 0.33:
+        return bare(), said
     before = [x() for x, p in ((notice, 0.15), (head, 0.5), (menu, 0.6), (share, 0.15), (advert, 0.4)) if rng.random() < p]
     middle = [story()]
     if rng.random() < 0.3:
@@ -474,29 +526,30 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
 
 def _labels(page: Page) -> np.ndarray:
     """Inside are the least element that holds all main text, what holds no more text than it, and what in it is main text for the greater part."""
-    main, all_ = np.zeros(len(page.parent)), np.zeros(len(page.parent))
+    main, all_, own = np.zeros(len(page.parent)), np.zeros(len(page.parent)), np.zeros(len(page.parent))
     for k, (node, piece) in enumerate(zip(page.node, page.piece, strict=True)):
         good, plain = MARK in piece, piece.replace(MARK, "")
         page.piece[k] = plain
+        own[node] += len(plain) * (1 if good else -1)
         while node >= 0:
             all_[node] += len(plain)
             main[node] += len(plain) * good
             node = page.parent[node]
     parent = np.array(page.parent)
     story = int(np.flatnonzero(main == main[0])[-1])
-    while parent[story] > 0 and all_[parent[story]] == all_[story] and page.name[parent[story]] != "body":
+    while parent[story] > 1 and all_[parent[story]] == all_[story]:
         story = parent[story]
     under = np.zeros(len(parent), bool)
     under[story] = True
     for k in range(story + 1, len(parent)):
         under[k] = under[parent[k]]
     label = under & (main * 2 > all_)
-    label[story] = True
+    label[story] = story != 1 or own[1] > 0  # a body is inside only for text of its own
     return label
 
 
 @cache
-def trained(pages: int = 900, seed: int = 5) -> Trees:
+def trained(pages: int = 1800, seed: int = 5) -> Trees:
     rng = random.Random(seed)
     parsed = [parse(training_page(rng)[0]) for _ in range(pages)]
     labels = np.concatenate([_labels(p) for p in parsed]).astype(float)  # this takes the marks away

@@ -58,3 +58,70 @@ def test_query(spark):
     got = h.extract(spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")).collect()
     assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got) and got[0]["text"] == ""
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+NAV = '<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>World news</a></li><li><a href=/c>Sport</a></li></ul></nav>'
+FIRST = 'The river rose again last night and the lower road was closed.'
+SECOND = 'Farmers moved their animals to the hill, where they will stay until Sunday.'
+# Pages written by hand, each with the text it must give: bare articles, loose text, tables, lists, menus, notices, fallbacks.
+PAGES = [
+    (f'<article><p>{FIRST}</p></article>', f'{FIRST}'),
+    (f'<html><body><p>{FIRST}</p><p>{SECOND}</p></body></html>', f'{FIRST} {SECOND}'),
+    (f'<body>{FIRST}</body>', f'{FIRST}'),
+    (f'<p>Tom &am<b>p;</b> Jerry went out.</p>', f'Tom &amp; Jerry went out.'),
+    (f'{FIRST}<br>{SECOND}', f'{FIRST} {SECOND}'),
+    (f'<div>{FIRST}</div><div>{SECOND}</div>', f'{FIRST} {SECOND}'),
+    (f'<h1>Flood</h1><p>{FIRST}</p>', f'Flood {FIRST}'),
+    (f'{NAV}<p>{FIRST}</p><p>{SECOND}</p>', f'{FIRST} {SECOND}'),
+    (f'<main><h1>Flood</h1><p>{FIRST}</p></main><footer><p>&copy; 2020 The Paper</p></footer>', f'Flood {FIRST}'),
+    (f'<body>{NAV}<h1>Flood</h1>{FIRST}<br>{SECOND}</body>', f'Flood {FIRST} {SECOND}'),
+    (f'<table><tr><td><a href=/>Home</a><br><a href=/b>News</a></td><td><h2>Flood</h2><p>{FIRST}</p></td></tr></table>', f'Flood {FIRST}'),
+    (f'<div id=content><p>{SECOND}</p><ul><li>hay</li><li>water</li></ul></div><div id=sidebar><h3>Also</h3><a href=/q>More</a></div>', f'{SECOND} hay water'),
+    (f'<section><h2>Flood</h2><p>{FIRST}</p></section><section id=comments><h3>Comments</h3><div class=comment><p>Terrible!</p></div></section>', f'Flood {FIRST}'),
+    (f'<p>{FIRST}</p><script>var a=1;</script><style>p{{}}</style><p>{SECOND}</p>', f'{FIRST} {SECOND}'),
+    (f'<p>Hi.</p>', f'Hi.'),
+    (f'<article><h1>Flood</h1><p>{FIRST}</p><div class=ad>Buy boots now!</div><p>{SECOND}</p></article>', f'Flood {FIRST} {SECOND}'),
+    (f"<div class='cookie-banner'>We use cookies.<button>OK</button></div><article><p>{FIRST}</p></article>", f'{FIRST}'),
+    (f'<header><h1>The Paper</h1></header><p>{FIRST}</p><p>{SECOND}</p>', f'{FIRST} {SECOND}'),
+    (f'<span>{FIRST}</span>', f'{FIRST}'),
+    (f'<pre>line one\n  line two</pre>', f'line one line two'),
+    (f'<blockquote>{FIRST}</blockquote>', f'{FIRST}'),
+    (f'<ul><li>{FIRST}</li><li>{SECOND}</li></ul>', f'{FIRST} {SECOND}'),
+    (f'<dl><dt>Flood</dt><dd>{FIRST}</dd></dl>', f'Flood {FIRST}'),
+    (f'<center><font>{FIRST}</font></center>', f'{FIRST}'),
+    (f'<div><div><div><p>{FIRST}</p></div></div></div>', f'{FIRST}'),
+    (f'<p>{FIRST}<p>{SECOND}', f'{FIRST} {SECOND}'),
+    (f'<article><figure><img src=x><figcaption>The road at noon</figcaption></figure><p>{FIRST}</p></article>', f'The road at noon {FIRST}'),
+    (f'<object><p>{FIRST}</p></object>', f'{FIRST}'),
+    (f'{NAV}<article><h1>Flood</h1><p>{FIRST}</p></article><form><label>Mail</label><input><button>Go</button></form>', f'Flood {FIRST}'),
+    (f'<div class=post><h2><a href=/x>Flood</a></h2><p>{FIRST}</p></div>', f'Flood {FIRST}'),
+    (f'<main>{FIRST}</main>', f'{FIRST}'),
+    (f'<body><h1>Flood</h1><p>{FIRST}</p><p>{FIRST}</p><p>{FIRST}</p><p>{FIRST}</p><p>{FIRST}</p><p>{FIRST}</p></body>', f'Flood {FIRST} {FIRST} {FIRST} {FIRST} {FIRST} {FIRST}'),
+    (f'<article><p>{FIRST} <a href=/x>See the map</a> of the road.</p></article>', f'{FIRST} See the map of the road.'),
+    (f'<p>{FIRST}</p><footer>Contact us &middot; Terms</footer>', f'{FIRST}'),
+]
+
+
+def test_pages_of_other_shapes():
+    got = EXTRACT([p for p, _ in PAGES])
+    assert len(PAGES) >= 30 and all(got), "no page with an article gives an empty text"
+    wrong = [(p, g) for (p, w), g in zip(PAGES, got, strict=True) if g != w]
+    assert len(wrong) <= 2, wrong
+
+
+def test_references_end_at_tags_and_unclosed_elements_lose_nothing():
+    assert EXTRACT([f"<p>Tom &am<b>p;</b> Jerry. {FIRST}</p>"]) == [f"Tom &amp; Jerry. {FIRST}"]
+    assert FIRST in EXTRACT([f"<title>x<p>{FIRST}</p>"])[0]
+    assert FIRST in EXTRACT([f"<article><p>{FIRST}</p><iframe src=x></article>"])[0]
+    assert FIRST in EXTRACT([f"<object><p>{FIRST}</p></object>"])[0]
+
+
+def test_time_follows_the_number_of_nodes():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        EXTRACT(["<div>" * n + "x"])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
