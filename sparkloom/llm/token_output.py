@@ -91,7 +91,7 @@ class Encoder:
 
     The library cuts a text into pieces before it merges bytes, and always cuts before a space or line end that stands
     between two other characters. Where a text has no other white space, its ids are those of the units between these
-    cuts. Each distinct unit of a run of rows is looked up, or encoded once; any other text is encoded whole.
+    cuts. Each distinct unit of a run of rows is looked up, or encoded once; any other text, and one that holds a special token's literal, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -101,7 +101,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # What the library takes for one token wherever it stands in a text: such texts are encoded whole.
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.vocabulary = max(vocabulary.values()) + 1
         self.lengths = np.zeros(self.vocabulary, np.int64)  # bytes of each id: a character of a piece stands for a byte
@@ -164,6 +165,12 @@ class Encoder:
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and where each row's ids end."""
         odd = odd_rows(data, offsets)
+        flat = data.tobytes()
+        for literal in self.special:
+            at = flat.find(literal)
+            while at >= 0:  # one that runs over the end of a row is none, but does no harm
+                odd[np.searchsorted(offsets, at, "right") - 1] = True
+                at = flat.find(literal, at + len(literal))
         starts, ends, first = word_spans(data, offsets, ~_GAP)
         row = np.repeat(np.arange(len(odd)), np.diff(first))
         plain = ~odd[row]
@@ -171,7 +178,6 @@ class Encoder:
         opens = starts == offsets[row]
         kind = np.where(opens, 0, data[starts - 1]).astype(np.uint64)  # what stands before: nothing, a space, a line end
         keys, index, place = np.unique(mix64(span_hashes(data, starts, ends) + kind), return_index=True, return_inverse=True)
-        flat = data.tobytes()
         since, until = starts[index] - ~opens[index], ends[index]
         checks = (span_hashes(data ^ np.uint8(0x5A), *(x[np.argsort(index)] for x in (since, until)))[np.argsort(np.argsort(index))] >> np.uint64(32)).astype(np.uint32) if len(index) else np.zeros(0, np.uint32)
         if len(self.keys) > MEMORY:

@@ -15,7 +15,6 @@ from sparkloom.llm.kernel import string_bytes
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ENCODER = token_output.Encoder(PATH)
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 def encoded(texts):
@@ -39,6 +38,14 @@ def test_ids_with_a_small_memory(monkeypatch):
         assert encoded(texts) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_tokens_are_the_librarys():
+    """The contract asks for the library's ids without further settings: a special token's literal is that token."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\n<|endoftext|><|endoftext|>", "<|endof", "text|> plain", "no token here"]
+    got = encoded(texts)
+    assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [64, 220, 50256, 275] and got[1] == [50256]
+
+
 @pytest.mark.parametrize("vocabulary", [1, 2, 50, 257, 50257, 65536, 65537, 200_000])
 def test_packing_round_trip_and_random_access(vocabulary):
     bits = token_output.width(vocabulary)
