@@ -4,18 +4,20 @@ Vectors are scaled to length 1 and rounded to int8 with one step size each. A
 tile holds some thousand of them; each query tile meets each candidate tile
 once. The int8 product gives every cosine up to a proven error: with
 x = x' + r, |x.y - x'.y'| <= |x'| |r_y| + |r_x|. A pair survives
-while its upper bound reaches the k-th greatest lower bound of its query;
-survivors are recomputed in double precision from the original vectors, and the k best
-of each tile pair are merged into the k best of each query. Nothing is approximate in the result.
+while its upper bound reaches the k-th greatest lower bound of its query, and the k-th exact score that is known;
+survivors are recomputed in double precision from the original vectors, some thousand at a time, and go to one heap of
+size k for each query of the tile pair. The heaps' rows are merged into the k best of each query. Nothing is approximate in the result.
 
 Vectors that are null, zero, or hold a null or a non-finite component take no part;
 only vectors of equal dimension are compared. Rows are told apart by their id: a query never
-meets its own id, and repeated rows of an id count once.
+meets its own id, and repeated rows of an id count once, with the best score. Equal scores go by the smaller id, however many
+there are: they cost time but no memory. A tile holds fewer vectors the longer they are. Without queries or candidates there are no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE, QUERY_TILE, CHUNK = 16_384, 512, 2_048
+DIMENSION = 1_024  # vectors with more components come in smaller tiles
+PAIRS = 1 << 20  # components of the pairs that are recomputed at once
 _TILE_SCHEMA = "dim int, tile long, ids binary, vectors binary, steps binary, lengths binary, errors binary, ints binary"
 
 
@@ -64,9 +68,10 @@ def _tiles(size: int):
                 vectors = flat[ends[rows][:, None] + np.arange(dim)]
                 good = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
                 rows, vectors = rows[good], vectors[good]
-                for i in range(0, len(rows), size):
-                    held.setdefault(dim, []).append((ids[rows[i : i + size]], vectors[i : i + size]))
-                    if sum(len(x) for x, _ in held[dim]) >= size:
+                step = max(1, size * DIMENSION // max(dim, DIMENSION))
+                for i in range(0, len(rows), step):
+                    held.setdefault(dim, []).append((ids[rows[i : i + step]], vectors[i : i + step]))
+                    if sum(len(x) for x, _ in held[dim]) * max(dim, DIMENSION) >= size * DIMENSION:
                         yield flush(dim)
         for dim in list(held):
             yield flush(dim)
@@ -91,17 +96,37 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of each query; a repeated (query, vec) counts once, with its best score."""
-    order = np.lexsort((vec, -score, query))
-    q, v = query[order], vec[order]
-    # Repeats of a vec within a query: keep the first in this order.
-    seen = np.lexsort((np.arange(len(order)), v, q))
-    again = np.zeros(len(order), bool)
-    again[seen[1:]] = (q[seen][1:] == q[seen][:-1]) & (v[seen][1:] == v[seen][:-1])
-    order, q = order[~again], q[~again]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    return order[rank < k]
+class Heaps:
+    """The k best candidates of each query: heaps of (score, -id), the worst on top. An id stands once, with its best score."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.heaps = k, [[] for _ in range(queries)]
+        self.score, self.id = np.full(queries, -np.inf), np.full(queries, np.iinfo(np.int64).max)  # of the tops of full heaps
+
+    def wanted(self, query: np.ndarray, score: np.ndarray, vec: np.ndarray) -> np.ndarray:
+        top = self.score[query]
+        return (score > top) | ((score == top) & (vec < self.id[query]))
+
+    def push(self, query: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
+        for at in np.split(np.arange(len(query)), range(64, len(query), 64)):  # so that the tops are looked at again
+            at = at[self.wanted(query[at], score[at], vec[at])]
+            for q, s, v in zip(query[at].tolist(), score[at].tolist(), vec[at].tolist(), strict=True):
+                heap, item = self.heaps[q], (s, -v)
+                twin = next((j for j, (_, w) in enumerate(heap) if w == -v), None)
+                if twin is not None:
+                    if s > heap[twin][0]:
+                        heap[twin] = item
+                        heapify(heap)
+                elif len(heap) < self.k:
+                    heappush(heap, item)
+                elif item > heap[0]:
+                    heapreplace(heap, item)
+                if len(heap) == self.k:
+                    self.score[q], self.id[q] = heap[0][0], -heap[0][1]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = [(q, -v, s) for q, heap in enumerate(self.heaps) for s, v in heap]
+        return tuple(np.array([x[c] for x in flat], t) for c, t in enumerate((np.int64, np.int64, np.float64)))
 
 
 def _meet(k: int):
@@ -119,27 +144,29 @@ def _meet(k: int):
                 cid, cvec, cstep, clen, cerr, cint = side("")
                 left = qint.astype(kind)
                 low = np.full((len(qid), k), -np.inf)
-                found: tuple[list, list, list] = ([], [], [])
+                heaps, step = Heaps(len(qid), k), max(1, PAIRS // dim)
                 for i in range(0, len(cid), CHUNK):
                     part = slice(i, i + CHUNK)
                     near = (left @ cint[part].astype(kind).T).astype(np.float64) * qstep[:, None] * cstep[part]
                     slack = qlen[:, None] * cerr[part] + qerr[:, None] + 1e-9
                     own = qid[:, None] == cid[part]
-                    lower = np.where(own, -np.inf, near - slack)
                     # Repeats of an id must not fill the k places: only the first of each counts for the bound.
                     first = np.zeros(len(cid[part]), bool)
                     first[np.unique(cid[part], return_index=True)[1]] = True
-                    low = -np.sort(-np.concatenate([low, lower[:, first]], axis=1), axis=1)[:, :k] if i == 0 else -np.sort(-np.concatenate([low, np.where(np.isin(cid[part], cid[:i]), -np.inf, lower)[:, first]], axis=1), axis=1)[:, :k]
-                    a, b = np.nonzero((near + slack >= low[:, -1:]) & ~own)
-                    found[0].append(a)
-                    found[1].append(b + i)
-                    found[2].append((near + slack)[a, b])
-                a, b, upper = (np.concatenate(x) for x in found)
-                live = upper >= low[a, -1]  # by the bounds of the whole tile
-                a, b = a[live], b[live]
-                score = exact(qvec[a], cvec[b])
-                top = _best(a, cid[b], score, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[a[top]]), pa.array(cid[b[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
+                    lower = np.where(own | np.isin(cid[part], cid[:i]), -np.inf, near - slack)[:, first]
+                    low = -np.sort(-np.concatenate([low, lower], axis=1), axis=1)[:, :k]
+                    upper = near + slack
+                    a, b = np.nonzero((upper >= low[:, -1:]) & ~own)
+                    upper, b = upper[a, b], b + i
+                    order = np.lexsort((cid[b], -upper))  # the likeliest first, so that heaps fill with what stays
+                    a, b, upper = a[order], b[order], upper[order]
+                    for j in range(0, len(a), step):
+                        some = slice(j, j + step)
+                        live = upper[some] >= heaps.score[a[some]]
+                        x, y = a[some][live], b[some][live]
+                        heaps.push(x, exact(qvec[x], cvec[y]), cid[y])
+                query, vec, score = heaps.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(qid[query]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return products
 

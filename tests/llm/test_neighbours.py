@@ -46,3 +46,24 @@ def test_bounds_hold():
     ints, step, length, rest = neighbours.quantise(u)
     near = (ints.astype(float) @ ints.T) * step[:, None] * step
     assert (np.abs(u @ u.T - near) <= length[:, None] * rest + rest[:, None] + 1e-9).all()
+
+
+def test_a_thousand_equal_vectors_need_no_memory_for_their_pairs(spark):
+    rows = [(k, [1.0, 2.0, -1.0, 0.5]) for k in range(1500)] + [(5000, [1.0, 2.0, -1.0, 0.6])]
+    df = table(spark, rows).repartition(3)
+    got = neighbours.nearest(df.where(F.col("vec_id") % 50 == 0), df).collect()
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in got if r["query_id"] < 1500}
+    assert got == {(q, r + 1): v for q in range(0, 1500, 50) for r, v in enumerate([k for k in range(6) if k != q][:5])}
+
+
+def test_heaps_meet_sorting():
+    rng = np.random.default_rng(5)
+    heaps = neighbours.Heaps(7, 3)
+    q, v, s = rng.integers(0, 7, 4000), rng.integers(0, 60, 4000), rng.integers(0, 9, 4000) / 9
+    for k in range(0, 4000, 500):
+        heaps.push(q[k : k + 500], s[k : k + 500], v[k : k + 500])
+    best = {}
+    for a, b, c in zip(q.tolist(), v.tolist(), s.tolist(), strict=True):
+        best.setdefault(a, {})[b] = max(c, best.get(a, {}).get(b, -1))
+    want = {(a, b, c) for a, own in best.items() for c, b in sorted(((c, b) for b, c in own.items()), key=lambda x: (-x[0], x[1]))[:3]}
+    assert set(zip(*(x.tolist() for x in heaps.rows()), strict=True)) == want
