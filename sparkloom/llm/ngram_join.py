@@ -12,8 +12,9 @@ n - ceil(percent * n / 100) + 1 tokens of both, their prefixes, have a token in
    joins groups of near copies without their pairs. Then only lists that still hold several components are searched, for pairs
    of different components; a long list is dealt into blocks, and each pair of blocks is a group of its own. Every link between
    components is found, so the components are those of all links.
-4. A candidate pair goes on only if its prefixes also meet under each of the other orders, and if counts of its tokens by class let
-   it link. Only then are its whole sets made and compared. All of this is done by joins and SQL functions on arrays; only texts to be cut into tokens go through Python.
+4. A candidate pair goes on only if its prefixes also meet under each of the other orders. These filters are joins on small arrays, so
+   they are intersected before any set is fetched. Then the texts of both representatives meet, which are a good deal smaller than their sets,
+   and the whole sets are made of them and compared.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered; with fewer than `width` words the whole sequence is one
 shingle; without any (null texts too) the set is empty and links with nothing. Rows that repeat an id are
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 
 from . import bits
 from .components import components
-from .kernel import cut_rows, mix64, shingle_sets
+from .kernel import cut_rows, mix64, shingle_sets, string_bytes
 from .store import free_name, settle
 
-SKETCH, PIECES, CLASSES = 22, 256, 64
+SKETCH, PIECES = 22, 256
 BLOCK = 512  # postings of a token that one group compares with one another
 SEEN = 1 << 17  # signatures that a task remembers, so as not to post equal sets again: a matter of speed only
 # The seeds that make the other token orders.
@@ -51,17 +52,12 @@ def _signature(tokens: np.ndarray) -> int:
     return int(mix64(tokens + np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).view(np.int64)) if len(tokens) else 0
 
 
-def _counts(tokens: np.ndarray) -> np.ndarray:
-    """How many tokens fall in each of CLASSES classes, by hash."""
-    return np.bincount((mix64(tokens ^ np.uint64(0x6A09E667F3BCC909)) >> np.uint64(58)).astype(np.int64), minlength=CLASSES).astype(np.int32)
-
-
 def _other_prefix(tokens: np.ndarray, seed: np.uint64, percent: int) -> np.ndarray:
-    """The prefix of a set under the order of one seed, 32 bits a token: prefixes that meet still do when cut."""
+    """The prefix of a set under the order of one seed, 16 bits a token: prefixes that meet still do when cut."""
     if not len(tokens):
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int16)
     order, p = mix64(tokens ^ seed), prefix_length(len(tokens), percent)
-    return (order if p >= len(order) else np.partition(order, p - 1)[:p]).astype(np.uint32).view(np.int32)
+    return (order if p >= len(order) else np.partition(order, p - 1)[:p]).astype(np.uint16).view(np.int16)
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -70,11 +66,10 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _scan(width: int, percent: int):
-    """doc_id, text -> rows of documents (doc_id, n, s, classes, first, second) and, at a partition's end, pieces of its sketch."""
+    """doc_id, text -> rows of documents (doc_id, n, s, first, second) and, at a partition's end, pieces of its sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "s", "classes", "first", "second", "piece", "counts"]
-        ints = pa.list_(pa.int32())
+        names = ["doc_id", "n", "s", "first", "second", "piece", "counts"]
         sketch = np.zeros(1 << SKETCH, np.uint32)
         kind = None
         for batch in batches:
@@ -84,13 +79,13 @@ def _scan(width: int, percent: int):
                 low = (np.concatenate(sets) & np.uint64((1 << SKETCH) - 1)).astype(np.int64)
                 np.add.at(sketch, low, np.uint32(1))
                 k = part.num_rows
-                lists = [_lists([_counts(x) for x in sets], pa.int32()), *(_lists([_other_prefix(x, seed, percent) for x in sets], pa.int32()) for seed in ORDERS)]
+                lists = [_lists([_other_prefix(x, seed, percent) for x in sets], pa.int16()) for seed in ORDERS]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_signature(x) for x in sets], pa.int64()), *lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if kind is not None:
             pieces = sketch.reshape(PIECES, -1)
             for k in np.flatnonzero(pieces.any(axis=1)).tolist():
                 blob = zlib.compress(pieces[k].tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *[pa.nulls(1, ints)] * 3, pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.list_(pa.int16()))] * 2, pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=names)
 
     return rows
 
@@ -156,6 +151,15 @@ def _may_link(n: Column, at: Column, m: Column, bt: Column, percent: int) -> Col
     return (100 * left >= percent * (n + m - left)) & (100 * F.least(n, m).cast("long") >= percent * F.greatest(n, m).cast("long"))
 
 
+def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets link."""
+    x, y = len(a), len(b)
+    if 100 * min(x, y) < percent * max(x, y):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (x + y - both)
+
+
 class Join:
     """The steps share the documents' scan; `documents` has doc_id and text."""
 
@@ -164,7 +168,7 @@ class Join:
         self.documents = documents.select("doc_id", "text")
         kind = documents.schema["doc_id"].dataType.simpleString()
         self.spark = documents.sparkSession
-        scanned = settle(self.documents.mapInArrow(_scan(width, percent), f"doc_id {kind}, n long, s long, classes array<int>, first array<int>, second array<int>, piece int, counts binary"), "shingle-scan")
+        scanned = settle(self.documents.mapInArrow(_scan(width, percent), f"doc_id {kind}, n long, s long, first array<smallint>, second array<smallint>, piece int, counts binary"), "shingle-scan")
         self.rows = scanned.where("piece IS NULL").select("doc_id", "n", "s")
         self.sketch = self.spark.sparkContext.broadcast(_sketch(scanned))
         self.known = scanned.where("n > 0 AND doc_id IS NOT NULL")
@@ -180,49 +184,36 @@ class Join:
         return settle(near.join(several, "token", "left_semi").distinct(), "shared-postings")
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose prefixes meet under the other orders and whose class counts let them link: they share at most the lesser count of each class.
-
-        Rows of equal sets repeat here, and are alike; bits leave out sets that are in no pair.
-        """
+        """The pairs whose prefixes meet under the other orders too. Rows of equal sets repeat here, and are alike; bits leave out sets that are in no pair."""
         asked = settle(_ends(pairs), "asked-classes")
-        near = bits.table(asked, "s").keep(self.known.select("s", "classes", "first", "second"), "s")
+        near = bits.table(asked, "s").keep(self.known.select("s", "first", "second"), "s")
         near = settle(near.dropDuplicates(["s"]), "class-orders")
-        left, right = (near.select(F.col("s").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("classes", "first", "second")]) for c in "ab")
+        left, right = (near.select(F.col("s").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("first", "second")]) for c in "ab")
         meet = F.arrays_overlap("first_a", "first_b") & F.arrays_overlap("second_a", "second_b")
-        total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
-        both = total(F.zip_with("classes_a", "classes_b", lambda x, y: F.least(x, y)))
-        found = pairs.join(left, "a").join(right, "b").where(meet)
-        found = found.where(100 * both >= self.percent * (total(F.col("classes_a")) + total(F.col("classes_b")) - both))
-        return settle(found.select("a", "b"), "plausible-pairs")
+        return settle(pairs.join(left, "a").join(right, "b").where(meet).select("a", "b"), "plausible-pairs")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, b (signatures; b those that stand in many pairs). Those that link.
-
-        The sets of plausible pairs alone are made again, from the texts of their representatives: bits of their ids drop the other texts where they
-        are scanned. Each is written once.
-        """
-        width = self.width
+        """pairs: a, b (signatures; b those that stand in many pairs). Those that link, on the whole texts of their representatives; bits of these ids drop the other texts where they are scanned."""
+        width, percent = self.width, self.percent
         pairs = self._plausible(pairs)
-        wanted = _ends(pairs)
-        reps = settle(self.classes.join(wanted, "s").select(F.col("rep").alias("doc_id")).distinct(), "shingle-reps")
+        named = self.classes.join(_ends(pairs), "s").select("s", "rep")
+        left, right = (named.select(F.col("s").alias(c), F.col("rep").alias("rep_" + c)) for c in "ab")
+        pairs = settle(pairs.join(left, "a").join(right, "b"), "named-pairs")
+        reps = settle(pairs.select(F.col("rep_a").alias("doc_id")).unionByName(pairs.select(F.col("rep_b").alias("doc_id"))).distinct(), "shingle-reps")
+        texts = bits.table(reps, "doc_id").keep(self.documents, "doc_id")
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, data, offsets in cut_rows(batch, "text"):
-                    found = shingle_sets(data, offsets, width)
-                    yield pa.RecordBatch.from_arrays([pa.array([_signature(x) for x in found], pa.int64()), _lists([x.view(np.int64) for x in found], pa.int64())], names=["s", "tokens"])
-
-        texts = bits.table(reps, "doc_id").keep(self.documents, "doc_id").select("text")
-        fetched = settle(texts.mapInArrow(sets, "s long, tokens array<long>"), "shingle-sets")
-
-        def side(column: str) -> DataFrame:
-            asked = settle(pairs.select(column).distinct(), "asked-sets")
-            own = bits.table(asked, column).keep(fetched.select(F.col("s").alias(column), F.col("tokens").alias("tokens_" + column)), column)  # so each side's sets are shuffled, and no others
-            return own
-
-        both = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-        found = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
-        return found.where(100 * F.col("both") >= self.percent * (F.size("tokens_a") + F.size("tokens_b") - F.col("both"))).select("a", "b").distinct()
+                for part, data, offsets in cut_rows(batch, "text_b"):
+                    a, b = (part.column(c).to_pylist() for c in ("a", "b"))
+                    mine, other = shingle_sets(*string_bytes(part.column("text_a")), width), shingle_sets(data, offsets, width)
+                    # Where an id is repeated, only its text with the signature asked for counts.
+                    good = [_signature(x) == s and _signature(y) == t and jaccard_at_least(x, y, percent) for x, y, s, t in zip(mine, other, a, b, strict=True)]
+                    got = part.filter(pa.array(good, pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b")], names=["a", "b"])
+
+        own, met = (texts.select(F.col("doc_id").alias("rep_" + c), F.col("text").alias("text_" + c)) for c in "ab")
+        return pairs.join(own, "rep_a").join(met, "rep_b").select("a", "b", "text_a", "text_b").mapInArrow(linked, "a long, b long").distinct()
 
     def components(self) -> DataFrame:
         """node, root: signatures of sets that link, and one signature for each component."""
