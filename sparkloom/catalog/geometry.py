@@ -86,11 +86,11 @@ def _dot(a: list[str], b: list[str]) -> str:
 
 
 def hit_sql(o: list[str], d: list[str], e1: list[str], e2: list[str], a: list[str], frm: str, keep: str) -> str:
-    """SELECT keep, t: distance of a ray to a triangle, 0 for a miss."""
+    """SELECT keep, t: distance of a ray to a triangle, less than 0 behind it, 0 for a miss."""
     s = [f"({x} - {y})" for x, y in zip(o, a, strict=True)]
     p, q = _cross(d, e2), _cross(s, e1)
     inner = f"SELECT {keep}, {_dot(e1, p)} AS det, {_dot(s, p)} AS du, {_dot(d, q)} AS dv, {_dot(e2, q)} AS dt FROM {frm}"
-    return f"SELECT {keep}, CASE WHEN abs(det) >= 1e-8 AND du * (1.0 / det) BETWEEN 0 AND 1 AND dv * (1.0 / det) >= 0 AND du * (1.0 / det) + dv * (1.0 / det) <= 1 AND dt * (1.0 / det) > 0 THEN dt * (1.0 / det) ELSE 0.0 END AS t FROM ({inner}) WHERE det <> 0 UNION ALL SELECT {keep}, 0.0 AS t FROM ({inner}) WHERE det = 0"
+    return f"SELECT {keep}, CASE WHEN abs(det) >= 1e-8 AND du * (1.0 / det) BETWEEN 0 AND 1 AND dv * (1.0 / det) >= 0 AND du * (1.0 / det) + dv * (1.0 / det) <= 1 THEN dt * (1.0 / det) ELSE 0.0 END AS t FROM ({inner}) WHERE det <> 0 UNION ALL SELECT {keep}, 0.0 AS t FROM ({inner}) WHERE det = 0"
 
 
 @query(f"SELECT p_partkey, round(t, 9) AS t FROM ({hit_sql(['sx', 'sy', '-1.0'], ['0.25', '0.5', '1.0'], _E1, _E2, ['px', 'py', 'pz'], _P, 'p_partkey')})")

@@ -120,7 +120,7 @@ def binary_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def binary_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [r["n_name"] for r in read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
     path = new_path(spark, "names") + ".bin"
-    files.write_bytes(spark, path, struct.pack("<q", len(names)) + b"".join(struct.pack("<q", len(n.encode())) + n.encode() for n in names))
+    files.write_bytes(spark, path, struct.pack("<q", len(names)) + b"".join(struct.pack("<i", len(n.encode())) for n in names) + "".join(names).encode())
     return files.load(spark, path, "string")
 
 
@@ -132,7 +132,7 @@ def binary_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = int(max(u.max(), v.max())) + 1
     degree = np.bincount(u, minlength=n).astype("<i8")
     a, b = new_path(spark, "graph") + ".bin", new_path(spark, "graph") + ".adj_bin"
-    files.write_bytes(spark, a, struct.pack("<qq", n, len(v)) + degree.tobytes() + v.tobytes())
+    files.write_bytes(spark, a, struct.pack("<ii", n, len(v)) + degree.astype("<i4").tobytes() + v.astype("<i4").tobytes())
     offsets = np.append(0, np.cumsum(degree)).astype("<u4")
     files.write_bytes(spark, b, struct.pack("<5Q", 0, 0, n, len(v), 0) + offsets.tobytes() + v.astype("<u4").tobytes())
     return files.load(spark, a, "graph").intersect(files.load(spark, b))
@@ -144,3 +144,60 @@ def generate_or_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     make = lambda s: read(s, sf_dir, "supplier").select((F.col("s_suppkey") % 10).alias("v"))
     files.load_or_make(spark, path, make)
     return files.load_or_make(spark, path, make).groupBy("v").agg(F.count("*").alias("n"))
+
+
+_MESH = "SELECT p_partkey - m AS pid, CAST((p_partkey * 37) % 101 AS DOUBLE) AS x, CAST((p_partkey * 53) % 103 AS DOUBLE) AS y, CAST((p_partkey * 71) % 107 AS DOUBLE) AS z, n FROM part, (SELECT min(p_partkey) AS m, count(*) AS n FROM part)"
+_TRIS = f"SELECT pid AS tid, pid AS a, (pid + 1) % n AS b, (pid + 2) % n AS c FROM ({_MESH})"
+_WITH_CORNERS = f"""SELECT t.tid, {", ".join(f"{p}.{c} AS {p}{c}" for p in ("p", "q", "r") for c in "xyz")} FROM ({_TRIS}) t JOIN ({_MESH}) p ON p.pid = t.a JOIN ({_MESH}) q ON q.pid = t.b JOIN ({_MESH}) r ON r.pid = t.c"""
+
+
+def _mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    read(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return spark.sql(_MESH).drop("n"), spark.sql(_TRIS)
+
+
+def _with_corners(points: DataFrame, tris: DataFrame) -> DataFrame:
+    at = lambda n, k: points.select(F.col("pid").alias(k), *[F.col(c).alias(n + c) for c in "xyz"])
+    return tris.join(at("p", "a"), "a").join(at("q", "b"), "b").join(at("r", "c"), "c").drop("a", "b", "c")
+
+
+@query(_WITH_CORNERS)
+def text_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "mesh") + ".txt"
+    files.write_triangles(*_mesh(spark, sf_dir), path, "pbbs_triangles")
+    return _with_corners(*files.load(spark, path))
+
+
+@query("SELECT pid AS rid, x AS ox, y AS oy, z AS oz, y AS dx, z AS dy, x + 1 AS dz FROM (" + _MESH + ")")
+def text_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rays of a scene in two files."""
+    points, tris = _mesh(spark, sf_dir)
+    a, b = new_path(spark, "scene") + ".txt", new_path(spark, "rays") + ".txt"
+    files.write_triangles(points, tris, a)
+    files.write_words(points.select(F.col("pid").alias("idx"), "x", "y", "z", F.col("y").alias("dx"), F.col("z").alias("dy"), (F.col("x") + 1).alias("dz")), b, "x", "y", "z", "dx", "dy", "dz")
+    return files.load(spark, a, "rays", b)[2]
+
+
+@query("SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS idx, p_retailprice AS v FROM part")
+def binary_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """store() and load() of a .bin file over all parts."""
+    rows, path = read(spark, sf_dir, "part"), new_path(spark, "prices") + ".bin"
+    files.store(rows.select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("v")), path, "v")
+    return files.load(spark, path, "double")
+
+
+@query("SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS idx, p_name AS v, p_size AS w FROM part")
+def binary_numbered_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = read(spark, sf_dir, "part"), new_path(spark, "names") + ".bin"
+    files.store(rows.select(F.col("p_partkey").alias("idx"), "p_name", F.col("p_size").cast("int").alias("p_size")), path, "p_name", "p_size")
+    return files.load(spark, path, "string pair")
+
+
+@query("SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS pid, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part")
+def converted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The converter's way: text in, binary out."""
+    a, b = new_path(spark, "points") + ".txt", new_path(spark, "points") + ".bin"
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    files.write_words(rows, a, "x", "y", head=["pbbs_sequencePoint2d"])
+    files.store(files.load(spark, a), b, "x", "y", idx="pid")
+    return files.load(spark, b, "point2d").select("pid", "x", F.round("y", 2).alias("y"))

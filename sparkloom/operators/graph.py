@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import blocks, rounds
-from ..plans.tables import settle
+from ..plans.tables import release, settle
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -46,6 +46,8 @@ def bfs(edges: DataFrame, source: int) -> tuple[DataFrame, int]:
         fresh = reached.join(visited, "vertex", "left_anti").select("vertex", F.lit(k).alias("distance"), "parent")
         frontier = settle(fresh, "bfs")
         visited = visited.unionByName(frontier)
+        if k % 16 == 0:  # so that a long way does not read as many tables as it has rounds
+            visited = settle(visited, "bfs")
     return visited, k
 
 
@@ -65,7 +67,8 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
         large = settle(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = settle(small.where("u <> v").distinct(), "stars")
+        old, e = e, settle(small.where("u <> v").distinct(), "stars")
+        release(old, large)
         after = state(e)
         if after == before:
             break
@@ -97,6 +100,19 @@ def matching(edges: DataFrame) -> DataFrame:
     return rounds.reservations(settle(held, "edge-ends"), "eid", "end", "matching").select("eid")
 
 
+def _hooked(picked: DataFrame) -> DataFrame:
+    """picked: u, v, one row for each u; every v is a u. u, root: picks lead along trees to one pair that picks each other, whose smaller vertex is the root. Ways are halved until all are done."""
+    other = picked.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    ways = settle(picked.join(other, "v").select("u", F.when((F.col("w") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("root")), "forest-ways")
+    while True:
+        further = ways.select(F.col("u").alias("root"), F.col("root").alias("next"))
+        halved = settle(ways.join(further, "root").select("u", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "forest-ways")
+        release(ways)
+        ways = halved
+        if ways.where("moved").isEmpty():
+            return ways
+
+
 def minimum_forest(edges: DataFrame) -> DataFrame:
     """eid of the minimum spanning forest under (weight, eid), which is unique; by rounds of least outgoing edges."""
     live = settle(edges.where("u <> v").select("eid", "weight", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), "forest-edges")
@@ -108,11 +124,12 @@ def minimum_forest(edges: DataFrame) -> DataFrame:
             return live.select("eid") if found is None else found
         chosen = picked.select("eid").distinct()
         found = chosen if found is None else found.union(chosen)
-        roots = settle(components(picked.select("u", "v")), "forest-roots")
-        live = live.join(roots.select(F.col("vertex").alias("u"), F.col("root").alias("ru")), "u").join(roots.select(F.col("vertex").alias("v"), F.col("root").alias("rv")), "v")
-        live = live.where("ru <> rv").select("eid", "weight", F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
+        roots = _hooked(picked.select("u", "v"))
+        moved = live.join(roots.select("u", F.col("root").alias("ru")), "u").join(roots.select(F.col("u").alias("v"), F.col("root").alias("rv")), "v")
+        moved = moved.where("ru <> rv").select("eid", "weight", F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
         # Of edges between the same two components only the least can be taken.
-        live = settle(live.groupBy("u", "v").agg(F.min(F.struct("weight", "eid")).alias("x")).select(F.col("x.eid").alias("eid"), F.col("x.weight").alias("weight"), "u", "v"), "forest-edges")
+        old, live = live, settle(moved.groupBy("u", "v").agg(F.min(F.struct("weight", "eid")).alias("x")).select(F.col("x.eid").alias("eid"), F.col("x.weight").alias("weight"), "u", "v"), "forest-edges")
+        release(old, roots)
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:

@@ -139,25 +139,31 @@ def nearest(points: DataFrame, k: int, axes: list[str], key: str = "pid", per_ce
 # --- ray casting ----------------------------------------------------------------------------------------
 
 
-def ray_cast(points: DataFrame, tris: DataFrame, rays: DataFrame, grid: int = 16) -> DataFrame:
+# Stretches of a ray's way that each round looks at: few at first, as most rays end early, then more, then all that are left.
+STRETCHES = ((0, 4), (4, 16), (16, 1 << 30))
+
+
+def ray_cast(points: DataFrame, tris: DataFrame, rays: DataFrame, grid: int | None = None) -> DataFrame:
     """rid, tid of the triangle that each ray meets first, -1 for none.
 
-    points: pid, x, y, z; tris: tid, a, b, c; rays: rid, ox, oy, oz, dx, dy, dz. Triangles and rays are dealt to the cells of a grid over the
-    triangles' box; a ray visits the cells it passes, and cells join.
+    points: pid, x, y, z; tris: tid, a, b, c; rays: rid, ox, oy, oz, dx, dy, dz. Triangles are dealt, with their corners, to the cells of a grid over
+    their box that has about as many cells as there are triangles. A ray's way is cut into stretches of one cell each, numbered from its origin;
+    a few rounds join them with the cells in that order, and a ray whose hit lies within the stretches seen so far is done.
     """
     corner = lambda n: points.select(F.col("pid").alias(n), *[F.col(c).cast("double").alias(n + c) for c in "xyz"])
-    shapes = settle(tris.select("tid", "a", "b", "c").join(corner("a"), "a").join(corner("b"), "b").join(corner("c"), "c"), "triangles")
+    shapes = settle(tris.select(F.col("tid").cast("long").alias("tid"), "a", "b", "c").join(corner("a"), "a").join(corner("b"), "b").join(corner("c"), "c").drop("a", "b", "c"), "triangles")
     lows = {c: F.least(*[F.col(n + c) for n in "abc"]) for c in "xyz"}
     highs = {c: F.greatest(*[F.col(n + c) for n in "abc"]) for c in "xyz"}
-    box = shapes.agg(*[F.min(lows[c]).alias("lo" + c) for c in "xyz"], *[F.max(highs[c]).alias("hi" + c) for c in "xyz"]).first()
+    box = shapes.agg(F.count("*").alias("n"), *[F.min(lows[c]).alias("lo" + c) for c in "xyz"], *[F.max(highs[c]).alias("hi" + c) for c in "xyz"]).first()
     if box["lox"] is None:
         return rays.select("rid", F.lit(-1).cast("long").alias("tid"))
+    grid = grid or min(1024, max(1, round(box["n"] ** (1 / 3))))
     lo = np.array([box["lo" + c] for c in "xyz"]) - 1e-6
     step = np.maximum((np.array([box["hi" + c] for c in "xyz"]) + 1e-6 - lo) / grid, 1e-9)
     cells = shapes
     for k, c in enumerate("xyz"):
         first, last = (F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor((v - float(lo[k])) / float(step[k])))).cast("int") for v in (lows[c], highs[c]))
-        cells = cells.withColumn("c" + c, F.explode(F.sequence(first, last)))
+        cells = cells.withColumn("cell_" + c, F.explode(F.sequence(first, last)))
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,33 +176,47 @@ def ray_cast(points: DataFrame, tris: DataFrame, rays: DataFrame, grid: int = 16
             inside = (o >= lo) & (o <= lo + grid * step)
             near, away = np.where(flat, np.where(inside, -np.inf, np.inf), np.minimum(t0, t1)), np.where(flat, np.where(inside, np.inf, -np.inf), np.maximum(t0, t1))
             enter, leave = np.maximum(near.max(axis=1), 0.0), away.min(axis=1)
-            out_ray, out_cell = [], []
+            rows: list[np.ndarray] = []
+            until: list[np.ndarray] = []
             for k in np.flatnonzero(enter <= leave).tolist():
                 # All crossings of grid planes cut the way into stretches of one cell each.
-                cuts = [enter[k], leave[k]]
+                cuts = [np.array([enter[k], leave[k]])]
                 for axis in range(3):
                     if not flat[k, axis]:
                         t = (lo[axis] + step[axis] * np.arange(grid + 1) - o[k, axis]) / d[k, axis]
-                        cuts += t[(t > enter[k]) & (t < leave[k])].tolist()
-                cuts = np.unique(cuts)
-                mid = cuts if len(cuts) == 1 else np.concatenate([(cuts[1:] + cuts[:-1]) / 2, cuts])
+                        cuts.append(t[(t > enter[k]) & (t < leave[k])])
+                cuts = np.unique(np.concatenate(cuts))
+                # A stretch has the cells of its middle and of its ends; a crossing touches the cells on both sides.
+                ends = np.minimum(np.arange(len(cuts)), max(len(cuts) - 2, 0))
+                number = np.concatenate([np.arange(len(cuts) - 1), ends, np.maximum(np.arange(len(cuts)) - 1, 0)])
+                mid = np.concatenate([(cuts[1:] + cuts[:-1]) / 2, cuts, cuts])
                 at = (o[k] + mid[:, None] * d[k] - lo) / step
-                # A crossing touches the cells on both sides.
-                both = np.concatenate([np.floor(at - 1e-7), np.floor(at + 1e-7)])
-                own = np.unique(np.clip(both, 0, grid - 1).astype(np.int32), axis=0)
-                out_ray += [k] * len(own)
-                out_cell.append(own)
-            got = np.concatenate(out_cell) if out_cell else np.zeros((0, 3), np.int32)
-            yield pa.RecordBatch.from_arrays([rid.take(pa.array(out_ray, pa.int64())), *(pa.array(got[:, k]) for k in range(3))], names=["rid", "cx", "cy", "cz"])
+                both = np.clip(np.concatenate([np.floor(at - 1e-7), np.floor(at + 1e-7)]), 0, grid - 1).astype(np.int64)
+                own = np.unique(np.column_stack([np.tile(number, 2), both]), axis=0)
+                rows.append(np.column_stack([np.full(len(own), k), own]))
+                until.append(cuts[np.minimum(own[:, 0] + 1, len(cuts) - 1)])
+            got = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
+            yield pa.RecordBatch.from_arrays([rid.take(pa.array(got[:, 0])), *(pa.array(got[:, k].astype(np.int32)) for k in range(1, 5)), pa.array(np.concatenate(until) if until else np.zeros(0))], names=["rid", "number", "cell_x", "cell_y", "cell_z", "until"])
 
     kind = rays.schema["rid"].dataType.simpleString()
     lines = rays.select("rid", *[F.col(c).cast("double").alias(c) for c in ("ox", "oy", "oz", "dx", "dy", "dz")])
-    passed = lines.mapInArrow(walked, f"rid {kind}, cx int, cy int, cz int")
-    pairs = passed.join(cells.select("tid", "cx", "cy", "cz"), ["cx", "cy", "cz"]).select("rid", "tid").distinct()
+    ways = settle(lines.mapInArrow(walked, f"rid {kind}, number int, cell_x int, cell_y int, cell_z int, until double"), "ray-ways")
+    cells = settle(cells, "triangle-cells")
     t = g.ray_triangle(g.point("ox", "oy", "oz"), g.point("dx", "dy", "dz"), *(g.point(*(n + c for c in "xyz")) for n in "abc"))
-    hits = pairs.join(lines, "rid").join(shapes, "tid").select("rid", "tid", t.alias("t")).where("t > 0")
-    first = hits.groupBy("rid").agg(F.min_by("tid", F.struct("t", "tid")).alias("tid"))
-    return rays.select("rid").join(first, "rid", "left").select("rid", F.coalesce(F.col("tid").cast("long"), F.lit(-1).cast("long")).alias("tid"))
+    open_ = lines.withColumn("best", F.lit(None).cast("struct<t:double,tid:bigint>"))
+    told: DataFrame | None = None
+    for first, end in STRETCHES:
+        part = ways.where((F.col("number") >= first) & (F.col("number") < end))
+        hits = part.join(open_, "rid").join(cells, ["cell_x", "cell_y", "cell_z"]).select("rid", F.struct(t.alias("t"), "tid").alias("x")).where("x.t > 0").groupBy("rid").agg(F.min("x").alias("x"))
+        seen = part.groupBy("rid").agg(F.max("until").alias("seen"), F.max("number").alias("last"))
+        now = open_.join(hits, "rid", "left").join(seen, "rid", "left").withColumn("best", F.least("best", "x"))
+        # Done: the hit lies in what was seen, or the way ends there. Ends of stretches are rounded, so a hit at one waits for the next round.
+        done = F.coalesce(F.col("last") < end - 1, F.lit(True)) | F.coalesce(F.col("best.t") < F.col("seen") * (1 - 1e-9), F.lit(False))
+        now = settle(now.withColumn("done", done).drop("x", "seen", "last"), "ray-round")
+        some = now.where("done").select("rid", "best")
+        told = some if told is None else told.unionByName(some)
+        open_ = now.where("NOT done").drop("done")
+    return told.select("rid", F.coalesce("best.tid", F.lit(-1).cast("long")).alias("tid"))
 
 
 # --- forces ---------------------------------------------------------------------------------------------
@@ -205,8 +225,11 @@ def ray_cast(points: DataFrame, tris: DataFrame, rays: DataFrame, grid: int = 16
 def direct_forces(particles: DataFrame, tile: int = 4096) -> DataFrame:
     """particles: id, x, y, z, mass. id, fx, fy, fz: the sum over all others of m_i m_j (p_j - p_i) / |r|^3; coincident pairs give none.
 
-    Tiles of particles meet each other once; a pair of tiles is one numpy product, and only sums leave it.
+    Tiles of particles meet each other once; a pair of tiles is one numpy product, and only sums leave it. Tiles have at most `tile` particles, and fewer
+    where that would leave partitions without one.
     """
+    groups = int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tile = max(64, min(tile, -(-particles.count() // (4 * groups))))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, part = 0, TaskContext.get().partitionId()
@@ -223,16 +246,18 @@ def direct_forces(particles: DataFrame, tile: int = 4096) -> DataFrame:
             for ids, data, other in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 p, q = np.frombuffer(data).reshape(-1, 4), np.frombuffer(other).reshape(-1, 4)
                 out = np.empty((len(p), 3))
-                for i in range(0, len(p), 512):
-                    r = q[None, :, :3] - p[i : i + 512, None, :3]
-                    d2 = (r**2).sum(axis=2)
+                (qx, qy, qz, mass), rows = np.ascontiguousarray(q.T), max(1, (1 << 17) // len(q))  # so that each product stays in the cache
+                for i in range(0, len(p), rows):
+                    own = p[i : i + rows]
+                    x, y, z = qx - own[:, 0, None], qy - own[:, 1, None], qz - own[:, 2, None]
+                    d2 = x * x + y * y + z * z
                     with np.errstate(all="ignore"):
-                        w = np.where(d2 > 0, q[None, :, 3] * p[i : i + 512, 3, None] / (d2 * np.sqrt(d2)), 0.0)
-                    out[i : i + 512] = (w[:, :, None] * r).sum(axis=1)
+                        w = mass * own[:, 3, None] / (d2 * np.sqrt(d2))
+                    w[d2 == 0] = 0.0
+                    out[i : i + rows] = np.stack([np.einsum("ij,ij->i", w, v) for v in (x, y, z)], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(3))], names=["id", "fx", "fy", "fz"])
 
     tiles = settle(particles.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "mass")]).mapInArrow(packed, "tile long, ids binary, data binary"), "tiles")
-    groups = int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = tiles.select("ids", "data", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
     right = tiles.select(F.col("data").alias("other"), F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int").alias("part"))
     met = left.join(right, "part").select("ids", "data", "other").mapInArrow(pull, "id long, fx double, fy double, fz double")

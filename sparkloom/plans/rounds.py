@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import settle
+from .tables import release, settle
 
 
 class TooManyRounds(RuntimeError):
@@ -24,7 +24,8 @@ def until_empty(state: DataFrame, step: Callable[[DataFrame], tuple[DataFrame, D
     for _ in range(limit):
         finished, rest = step(state)
         finished = settle(finished, f"{name}-done")
-        state = settle(rest, f"{name}-open")
+        old, state = state, settle(rest, f"{name}-open")
+        release(old)
         done = finished if done is None else done.unionByName(finished)
         if state.isEmpty():
             return done

@@ -34,15 +34,30 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write the rows and read them back, so that later jobs start from files."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again, such as those of a loop's earlier rounds."""
+    for table in tables:
+        path = getattr(table, "_settled_at", None)
+        if path is not None:
+            _delete(table.sparkSession, path)
+            _written[:] = [w for w in _written if w[1] != path]
 
 
 @atexit.register
 def _forget() -> None:
     for spark, path in _written:
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the folder's owner clears it
             return
     _written.clear()

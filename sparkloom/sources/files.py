@@ -165,30 +165,39 @@ def read_binary_sequence(spark: SparkSession, path: str, kind: str = "long") ->
     return _decode(spark, path, f"idx long, v {kind}", rows)
 
 
+class WrongSize(ValueError):
+    pass
+
+
+def _fits(b: bytes, size: int) -> None:
+    if size != len(b):
+        raise WrongSize(f"the head asks for {size} bytes, the file has {len(b)}")
+
+
 def read_binary_strings(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
-    """idx, v[, w]: a count, then for each item its length, its bytes and, if numbered, an integer."""
+    """idx, v[, w]: an 8-byte count, all lengths of 4 bytes, then for each item its bytes and, if numbered, a 4-byte integer."""
 
     def rows(b: bytes) -> dict:
-        n, at = struct.unpack_from("<q", b)[0], 8
-        texts, numbers = [], []
-        for _ in range(n):
-            size = struct.unpack_from("<q", b, at)[0]
-            texts.append(b[at + 8 : at + 8 + size].decode())
-            at += 8 + size
-            if numbered:
-                numbers.append(struct.unpack_from("<i", b, at)[0])
-                at += 4
-        return {"idx": np.arange(n), "v": texts} | ({"w": np.array(numbers, np.int32)} if numbered else {})
+        n = struct.unpack_from("<q", b)[0]
+        sizes = np.frombuffer(b, "<i4", n, 8).astype(np.int64)
+        ends = 8 + 4 * n + np.cumsum(sizes) + 4 * numbered * np.arange(n)
+        _fits(b, int(ends[-1]) + 4 * numbered if n else 8)
+        out = {"idx": np.arange(n), "v": pa.array([b[e - k : e].decode() for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.string())}
+        return out | ({"w": np.array([struct.unpack_from("<i", b, e)[0] for e in ends.tolist()], np.int32)} if numbered else {})
 
     return _decode(spark, path, "idx long, v string" + ", w int" * numbered, rows)
 
 
 def read_binary_graph(spark: SparkSession, path: str) -> DataFrame:
-    """u, v: 8-byte n and m, n degrees, m neighbours, all as 8-byte integers."""
+    """u, v: n and m, n degrees, m neighbours, all of 4 bytes, or all of 8: the file's size tells."""
 
     def rows(b: bytes) -> dict:
-        n, m = struct.unpack_from("<qq", b)
-        return {"u": np.repeat(np.arange(n), np.frombuffer(b, "<i8", n, 16)), "v": np.frombuffer(b, "<i8", m, 16 + 8 * n)}
+        kind, n, m = "<i4", *struct.unpack_from("<ii", b)
+        if len(b) != 4 * (2 + n + m):
+            kind, n, m = "<i8", *struct.unpack_from("<qq", b)
+            _fits(b, 8 * (2 + n + m))
+        flat = np.frombuffer(b, kind).astype(np.int64)
+        return {"u": np.repeat(np.arange(n), flat[2 : 2 + n]), "v": flat[2 + n :]}
 
     return _decode(spark, path, "u long, v long", rows)
 
@@ -205,21 +214,83 @@ def read_adjacency_binary(spark: SparkSession, path: str) -> DataFrame:
     return _decode(spark, path, "u long, v long", rows)
 
 
+def _arrays(b: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
+    """Arrays one after another, each an 8-byte count and items of `width` numbers."""
+    out, at = [], 0
+    for kind, width in kinds:
+        n = struct.unpack_from("<q", b, at)[0]
+        x = np.frombuffer(b, kind, n * width, at + 8).reshape(n, width)
+        at += 8 + x.nbytes
+        out.append(x)
+    _fits(b, at)
+    return out
+
+
+def _columns(x: np.ndarray, idx: str, names: list[str]) -> dict:
+    return {idx: np.arange(len(x))} | {c: np.ascontiguousarray(x[:, k]) for k, c in enumerate(names)}
+
+
+def _read_arrays(spark: SparkSession, path: str, parts: list[tuple[str, str, list[str]]]) -> list[DataFrame]:
+    """parts: kind of the numbers, index column, columns of each array in the file. A table for each."""
+    kinds = [(_NUMPY[kind], len(names)) for kind, _, names in parts]
+    return [
+        _decode(spark, path, f"{idx} long, " + ", ".join(f"{c} {'double' if kind == 'double' else 'long'}" for c in names), lambda b, k=k, idx=idx, names=names, kind=kind: _columns(_arrays(b, *kinds)[k].astype("<f8" if kind == "double" else "<i8"), idx, names))
+        for k, (kind, idx, names) in enumerate(parts)
+    ]
+
+
+_CORNERS = ("int", "tid", list("abc"))
+_RAYS = ("double", "rid", ["ox", "oy", "oz", "dx", "dy", "dz"])
+
+
 def read_binary_triangles(spark: SparkSession, path: str, dims: int = 2) -> tuple[DataFrame, DataFrame]:
-    """points, tris: counts of both, doubles of the points, 8-byte corner ids."""
+    """points, tris: a count and doubles of the points, then a count and 4-byte corner ids."""
+    return tuple(_read_arrays(spark, path, [("double", "pid", list("xyz")[:dims]), _CORNERS]))
 
-    def points(b: bytes) -> dict:
-        n = struct.unpack_from("<q", b)[0]
-        x = np.frombuffer(b, "<f8", dims * n, 16).reshape(n, dims)
-        return {"pid": np.arange(n)} | {c: np.ascontiguousarray(x[:, k]) for k, c in enumerate("xyz"[:dims])}
 
-    def tris(b: bytes) -> dict:
-        n, m = struct.unpack_from("<qq", b)
-        x = np.frombuffer(b, "<i8", 3 * m, 16 + 8 * dims * n).reshape(m, 3)
-        return {"tid": np.arange(m)} | {c: np.ascontiguousarray(x[:, k]) for k, c in enumerate("abc")}
+def read_binary_ray_test(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """points, tris, rays: three arrays, the rays as origin and direction."""
+    return tuple(_read_arrays(spark, path, [("double", "pid", list("xyz")), _CORNERS, _RAYS]))
 
-    axes = ", ".join(f"{c} double" for c in "xyz"[:dims])
-    return _decode(spark, path, f"pid long, {axes}", points), _decode(spark, path, "tid long, a long, b long, c long", tris)
+
+def _item_bytes(df: DataFrame, columns: tuple[str, ...], idx: str, only: str | None = None) -> DataFrame:
+    """m, chunk: the rows in order of idx as little-endian bytes. `only` is 'sizes' or 'rest' for the two parts of strings."""
+    kinds = [df.schema[c].dataType.typeName() for c in columns]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if only == "sizes":
+                out = b"".join(struct.pack("<i", len(x.encode())) for x in batch.column(0).to_pylist())
+            elif only == "rest":
+                out = b"".join(x.encode() + (b"" if not w else struct.pack("<i", *w)) for x, *w in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            else:
+                parts = [(f"c{k}", {"integer": "<i4", "long": "<i8", "double": "<f8"}[kind]) for k, kind in enumerate(kinds)]
+                items = np.zeros(batch.num_rows, parts)
+                for k, (name, _) in enumerate(parts):
+                    items[name] = batch.column(k).to_numpy(zero_copy_only=False)
+                out = items.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["chunk"])
+
+    return df.repartitionByRange(idx).sortWithinPartitions(idx).select(*columns).mapInArrow(packed, "chunk binary")
+
+
+def write_binary(df: DataFrame, path: str, *columns: str, idx: str = "idx") -> None:
+    """One file: an 8-byte count, then the items in order of idx; strings, alone or with an integer, as read_binary_strings has them.
+
+    The format has one head, so one stream writes it: chunks come to the driver one partition after another and are never held together.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    passes = ("sizes", "rest") if df.schema[columns[0]].dataType.typeName() == "string" else (None,)
+    try:
+        out.write(bytearray(struct.pack("<q", df.count())))
+        for only in passes:
+            for row in _item_bytes(df, columns, idx, only).toLocalIterator():
+                out.write(bytearray(row["chunk"]))
+    finally:
+        out.close()
 
 
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
@@ -240,16 +311,34 @@ def binary_sequence(values: np.ndarray, kind: str) -> bytes:
 # --- dispatch -------------------------------------------------------------------------------------------
 
 
-def load(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
-    """By extension: .txt (with or without a known first line), .bin, .adj_bin, else Parquet."""
+def _dimensions(body: DataFrame) -> int:
+    """Of the points of a triangle file, by its counts and the number of its words."""
+    n, m = (int(r["word"]) for r in body.where("i < 2").orderBy("i").collect())
+    return (body.count() - 2 - 3 * m) // n if n else 2
+
+
+def load(spark: SparkSession, path: str, kind: str = "long", second: str | None = None) -> DataFrame | tuple[DataFrame, ...]:
+    """By extension: .txt (with or without a known first line), .bin, .adj_bin, else Parquet.
+
+    kind "triangles" gives points and tris; "rays" gives points, tris and rays, as text from two files, of which `second` has the rays.
+    """
     if path.endswith(".adj_bin"):
         return read_adjacency_binary(spark, path)
     if path.endswith(".bin"):
-        return read_binary_graph(spark, path) if kind == "graph" else read_binary_strings(spark, path) if kind == "string" else read_binary_sequence(spark, path, kind)
+        binary = {
+            "graph": read_binary_graph, "string": read_binary_strings, "string pair": lambda s, p: read_binary_strings(s, p, True), "triangles": read_binary_triangles, "triangles3d": lambda s, p: read_binary_triangles(s, p, 3),
+            "rays": read_binary_ray_test, "point2d": lambda s, p: _read_arrays(s, p, [("double", "pid", list("xy"))])[0], "point3d": lambda s, p: _read_arrays(s, p, [("double", "pid", list("xyz"))])[0],
+            "pair": lambda s, p: _read_arrays(s, p, [("int", "idx", ["v", "w"])])[0],
+        }
+        return binary[kind](spark, path) if kind in binary else read_binary_sequence(spark, path, kind)
     if path.endswith(".txt"):
         first = spark.read.text(path).first()
         header = first["value"].strip() if first else ""
         told = HEADERS.get(header)
+        if told == "triangles" or kind in ("triangles", "rays") or second is not None:
+            head = header if told else None
+            shapes = read_triangles(spark, path, 3 if second is not None else _dimensions(settle(_body(words(spark, path), head), "words")), head)
+            return shapes if second is None else (*shapes, read_rays(spark, second))
         if told == "graph" or kind == "graph":
             return read_graph(spark, path, header if told else None)
         if told in ("edges", "weighted edges"):
@@ -262,10 +351,21 @@ def load(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_triangles(points: DataFrame, tris: DataFrame, path: str, header: str | None = None) -> None:
+    """Text: counts, points in order of pid, corners in order of tid."""
+    axes = [c for c in "xyz" if c in points.columns]
+    n, m = points.count(), tris.count()
+    lines = points.select(F.col("pid").cast("long").alias("idx"), F.concat_ws(" ", *[F.format_string("%.11e", c) for c in axes]).alias("v"))
+    lines = lines.unionByName(tris.select((F.col("tid") + n).cast("long").alias("idx"), F.concat_ws(" ", *[F.col(c).cast("string") for c in "abc"]).alias("v")))
+    write_words(lines, path, "v", head=[*([header] if header else []), str(n), str(m)])
+
+
 def store(df: DataFrame, path: str, *columns: str, idx: str = "idx") -> None:
-    """By extension: .txt as words in order of idx, else Parquet."""
+    """By extension: .txt as words in order of idx, .bin as items in order of idx, else Parquet."""
     if path.endswith(".txt"):
         write_words(df, path, *columns, idx=idx)
+    elif path.endswith(".bin"):
+        write_binary(df, path, *columns, idx=idx)
     else:
         df.write.parquet(path)
 

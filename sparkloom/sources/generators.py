@@ -93,8 +93,8 @@ def kuzmin(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
 
 
 def plummer(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    s = F.pow((unit(seed, 10, F.col("idx")) * 0.999 + 0.0005), F.lit(2.0 / 3.0))
-    radius = F.sqrt(s / (1 - s))
+    s = F.pow(unit(seed, 10, F.col("idx")), F.lit(2.0 / 3.0))
+    radius = F.sqrt(s / F.greatest(1 - s, F.lit(2.0**-53)))  # a power that is rounded up to 1 would have no radius
     return _points(_range(spark, n), *[radius * x for x in _direction(3, seed)])
 
 
@@ -102,10 +102,11 @@ def particles(points: DataFrame, mass: float = 1.0) -> DataFrame:
     return points.select(F.col("pid").alias("id"), "x", "y", "z", F.lit(mass).alias("mass"))
 
 
-def ray_scene(spark: SparkSession, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """points, tris, rays: n triangles p, p + (d, d, 0), p + (d, 0, d) with d = 1 / sqrt(n), and n rays through their box from low to high z."""
+def ray_scene(spark: SparkSession, n: int, seed: int = 0, surface: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """points, tris, rays: n triangles p, p + (d, d, 0), p + (d, 0, d) with d = 1 / sqrt(n) and p in [-1, 1]^3 or on the unit sphere, and n rays through their box from low to high z."""
     d = 1 / math.sqrt(max(n, 1))
-    base = _range(spark, n).select("idx", *[unit(seed, k, F.col("idx")).alias(c) for k, c in enumerate("xyz")])
+    at = _direction(3, seed) if surface else tuple(2 * unit(seed, k, F.col("idx")) - 1 for k in range(3))
+    base = _range(spark, n).select("idx", *[x.alias(c) for x, c in zip(at, "xyz", strict=True)])
     corners = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for k, (dx, dy, dz) in enumerate(((0.0, 0.0, 0.0), (d, d, 0.0), (d, 0.0, d)))])).alias("c")
     points = base.select("idx", "x", "y", "z", corners).select((F.col("idx") * 3 + F.col("c.k")).alias("pid"), (F.col("x") + F.col("c.dx")).alias("x"), (F.col("y") + F.col("c.dy")).alias("y"), (F.col("z") + F.col("c.dz")).alias("z"))
     tris = base.select(F.col("idx").alias("tid"), (F.col("idx") * 3).alias("a"), (F.col("idx") * 3 + 1).alias("b"), (F.col("idx") * 3 + 2).alias("c"))
