@@ -162,7 +162,7 @@ def ray_cast(points: DataFrame, tris: DataFrame, rays: DataFrame, grid: int | No
     step = np.maximum((np.array([box["hi" + c] for c in "xyz"]) + 1e-6 - lo) / grid, 1e-9)
     cells = shapes
     for k, c in enumerate("xyz"):
-        first, last = (F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor((v - float(lo[k])) / float(step[k])))).cast("int") for v in (lows[c], highs[c]))
+        first, last = (F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor((v - float(lo[k])) / float(step[k]) + wide))).cast("int") for v, wide in ((lows[c], -1e-7), (highs[c], 1e-7)))  # a triangle at a plane is in the cells of both sides
         cells = cells.withColumn("cell_" + c, F.explode(F.sequence(first, last)))
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,30 +176,25 @@ def ray_cast(points: DataFrame, tris: DataFrame, rays: DataFrame, grid: int | No
             inside = (o >= lo) & (o <= lo + grid * step)
             near, away = np.where(flat, np.where(inside, -np.inf, np.inf), np.minimum(t0, t1)), np.where(flat, np.where(inside, np.inf, -np.inf), np.maximum(t0, t1))
             enter, leave = np.maximum(near.max(axis=1), 0.0), away.min(axis=1)
-            rows: list[np.ndarray] = []
-            until: list[np.ndarray] = []
-            for k in np.flatnonzero(enter <= leave).tolist():
-                # All crossings of grid planes cut the way into stretches of one cell each.
-                cuts = [np.array([enter[k], leave[k]])]
-                for axis in range(3):
-                    if not flat[k, axis]:
-                        t = (lo[axis] + step[axis] * np.arange(grid + 1) - o[k, axis]) / d[k, axis]
-                        cuts.append(t[(t > enter[k]) & (t < leave[k])])
-                cuts = np.unique(np.concatenate(cuts))
-                # A stretch has the cells of its middle and of its ends; a crossing touches the cells on both sides.
-                ends = np.minimum(np.arange(len(cuts)), max(len(cuts) - 2, 0))
-                number = np.concatenate([np.arange(len(cuts) - 1), ends, np.maximum(np.arange(len(cuts)) - 1, 0)])
-                mid = np.concatenate([(cuts[1:] + cuts[:-1]) / 2, cuts, cuts])
-                at = (o[k] + mid[:, None] * d[k] - lo) / step
-                both = np.clip(np.concatenate([np.floor(at - 1e-7), np.floor(at + 1e-7)]), 0, grid - 1).astype(np.int64)
-                own = np.unique(np.column_stack([np.tile(number, 2), both]), axis=0)
-                rows.append(np.column_stack([np.full(len(own), k), own]))
-                until.append(cuts[np.minimum(own[:, 0] + 1, len(cuts) - 1)])
-            got = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
-            yield pa.RecordBatch.from_arrays([rid.take(pa.array(got[:, 0])), *(pa.array(got[:, k].astype(np.int32)) for k in range(1, 5)), pa.array(np.concatenate(until) if until else np.zeros(0))], names=["rid", "number", "cell_x", "cell_y", "cell_z", "until"])
+            met = np.flatnonzero(enter <= leave)
+            some = max(1, (1 << 18) // (3 * grid + 5))  # rays at once, so that their crossings stay a few MB
+            for k in (met[i : i + some] for i in range(0, len(met), some)):
+                # Crossings of grid planes cut the way into stretches of one cell each; those outside the way are put at its end.
+                with np.errstate(all="ignore"):
+                    t = ((lo + step * np.arange(grid + 1)[:, None] - o[k][:, None, :]) / d[k][:, None, :]).reshape(len(k), -1)
+                start, end = enter[k][:, None], leave[k][:, None]
+                t = np.sort(np.hstack([start, np.where((t > start) & (t < end), t, end), end]), axis=1)
+                long = np.diff(t, axis=1) > 0
+                long[:, 0] = True
+                row, col = np.nonzero(long)
+                middle = (t[row, col] + t[row, col + 1]) / 2
+                cell = np.clip(np.floor((o[k][row] + middle[:, None] * d[k][row] - lo) / step), 0, grid - 1).astype(np.int32)
+                number = (np.cumsum(long, axis=1) - 1)[row, col].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rid.take(pa.array(k[row])), pa.array(number), *(pa.array(np.ascontiguousarray(cell[:, c])) for c in range(3)), pa.array(t[row, col + 1])], names=["rid", "number", "cell_x", "cell_y", "cell_z", "until"])
 
     kind = rays.schema["rid"].dataType.simpleString()
     lines = rays.select("rid", *[F.col(c).cast("double").alias(c) for c in ("ox", "oy", "oz", "dx", "dy", "dz")])
+    lines = lines.repartition(int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid")  # small rows, much work
     ways = settle(lines.mapInArrow(walked, f"rid {kind}, number int, cell_x int, cell_y int, cell_z int, until double"), "ray-ways")
     cells = settle(cells, "triangle-cells")
     t = g.ray_triangle(g.point("ox", "oy", "oz"), g.point("dx", "dy", "dz"), *(g.point(*(n + c for c in "xyz")) for n in "abc"))
