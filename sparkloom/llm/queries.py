@@ -57,7 +57,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _url_sql(order: int = 3, rare: float = 1 / 2000, width: float = 0.01) -> str:
+def _url_sql(order: int = 3, rare: float = 0.0, width: float = 0.01) -> str:
     """The URL filter as SQL: rules, counts, interpolated models by order, scores, threshold."""
     fits = {r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in sorted(URL_RULES, key=lambda r: (-len(r.text), -len(r.host)))}
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{r.text}'" for r, f in fits.items()) + " END"

@@ -2,16 +2,17 @@
 
 Two variable-order Markov models over the characters of host and path, one
 for accepted and one for rejected URLs, are learnt from the URLs the rules
-decide and from a short seed list. A context is kept while at least `rare` of
-all training positions end in it, so the table has at most
-(1 / rare + 1) * orders * |alphabet| rows whatever the corpus; that is the
+decide and from a short seed list. Every context that occurs is kept, so what
+is learnt grows with the corpus; `rare` can leave out contexts in which less than that share of the training positions end. An alphabet of
+32 characters bounds a table at 33**order * 32 rows, some 1.2 million for the longest contexts, whatever the corpus: that is the
 proven bound under which it is broadcast. Probabilities interpolate each order
 with the next lower one (Witten-Bell). A URL's score is its mean log-likelihood
 difference a character; the threshold is calibrated on the URLs that rules decide.
 DataFrame operations only.
 
 Null URLs and URLs without `://` have an empty host and path and no rule; what
-has no characters to score is allowed.
+has no characters to score is allowed. Repeated rows are judged each; equal URLs are scored once. Of two rules that fit the longer one wins. A very long
+URL is scored whole. An empty table gives no rows, and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def _grams(df: DataFrame, order: int, *keep: str) -> DataFrame:
         *keep, F.substring("p", F.col("i"), F.lit(order + 1)).alias("gram"))
 
 
-def train(labelled: DataFrame, order: int = 3, rare: float = 1 / 2000) -> list[DataFrame]:
+def train(labelled: DataFrame, order: int = 3, rare: float = 0.0) -> list[DataFrame]:
     """labelled: s string, allow boolean, n double. One table an order: gram string (context and next character), ratio double."""
     counts = settle(_grams(labelled.groupBy("s", "allow").agg(F.sum("n").alias("n")), order, "allow", "n").groupBy("gram").agg(
         F.sum(F.when(F.col("allow"), F.col("n")).otherwise(0.0)).alias("a"), F.sum(F.when(~F.col("allow"), F.col("n")).otherwise(0.0)).alias("r")), "url-grams")
@@ -118,7 +119,7 @@ def score(urls: DataFrame, tables: list[DataFrame]) -> DataFrame:
     order = len(tables) - 1
     at = _grams(urls.select("s").distinct(), order, "s")
     best = F.lit(0.0)
-    for k, table in enumerate(tables):  # at most (1 / rare + 1) * |alphabet| rows each
+    for k, table in enumerate(tables):  # at most (|alphabet| + 1)**k * |alphabet| rows
         at = at.withColumn(f"g{k}", F.substring("gram", order + 1 - k, k + 1)).join(F.broadcast(table.select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))), f"g{k}", "left")
         best = F.coalesce(F.col(f"r{k}"), best)
     return at.groupBy("s").agg(F.avg(best).alias("score"))
@@ -137,7 +138,7 @@ def calibrate(scored: DataFrame, width: float = 0.01) -> float:
     return 0.0 if row is None or not row["na"] or not row["nr"] else (row["bin"] + (row["bin"] if row["under"] is None else row["under"] + 1)) / 2 * width
 
 
-def judge(pages: DataFrame, rules: list[Rule], order: int = 3, rare: float = 1 / 2000, url: str = "url", key: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], order: int = 3, rare: float = 0.0, url: str = "url", key: str = "page_id") -> DataFrame:
     """key, host, path, rule, verdict (allow or block), score (null where a URL has no character)."""
     host, path = url_parts(F.coalesce(F.col(url), F.lit("")))
     base = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
