@@ -14,11 +14,14 @@ their words `[^\\x20\\x09-\\x0D]+`; lines without a word are kept and compared w
    of them is found by a minimum, never by pairs.
 4. Each line is verified, word by word, against the earliest line of one of its keys.
 
-Where rows are looked for in a table that was just found, a table of bits goes first: 2**BITS bits by hash, in
-words of 64, so its size is fixed and it is broadcast; the exact join sees only what it lets through. So texts are read again, not shuffled.
+Where rows are looked for in a table that was just found, its bits go first (`bits.py`): a few MB at most, never a broadcast table; the exact
+join sees only what they let through. So texts are read again, not shuffled.
 
 DataFrame operations only. Null texts have no lines. Rows without an id take no part and come back without drops;
-rows that repeat an id and text share every decision, and of two equal places none is the earlier.
+rows that repeat an id and text share every decision, and of two equal places none is the earlier. Empty texts have one line without a
+word, which is kept. Lines of any length are compared whole. Without rows nothing is dropped; other columns keep their values, whatever their names.
+
+One word of `SHORTEST` is a similarity of 0.8; in a shorter line one changed word would leave less, so shorter lines are near copies only if they are equal.
 """
 
 from __future__ import annotations
@@ -26,29 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import settle
+from . import bits
+from .store import free_name, settle
 
 SHORTEST = 5
 _SPACE = r"[\x20\x09-\x0D]+"
 _SUM_BITS = 24  # hashes lose so many bits, that sums over 2**24 words stay in a long
 
 
-BITS = 25
-
-
-def _bits(df: DataFrame, column: str) -> DataFrame:
-    """word, bits: at most 2**(BITS - 6) rows of 16 bytes, whatever df holds."""
-    at = F.shiftrightunsigned(column, 64 - BITS)
-    return df.groupBy(F.shiftright(at, 6).alias("__w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({column}, {64 - BITS}) & 63 AS INT))")).alias("__b"))
-
-
-def _maybe(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
-    """The rows whose bit is set: all that are in the table, and a few more."""
-    at = F.shiftrightunsigned(column, 64 - BITS)
-    met = df.withColumn("__w", F.shiftright(at, 6)).join(F.broadcast(bits), "__w")
-    return met.where(F.expr(f"shiftrightunsigned(__b, CAST(shiftrightunsigned({column}, {64 - BITS}) & 63 AS INT)) & 1 = 1")).drop("__w", "__b")
-
-
 def _lines(documents: DataFrame) -> DataFrame:
     """doc_id, h, line_no, words of every line; hashes of words stand for the line."""
     rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
@@ -138,15 +126,15 @@ def _near(documents: DataFrame, known: DataFrame) -> DataFrame:
     halves = known.select("k1", "k2", F.explode("halves").alias("x")).select("k1", "k2", "x.*")
     shared = settle(halves.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("half"), "shared-halves")
     # Joins that follow a table of bits are inner joins with distinct keys: a semi-join would be pushed below it.
-    met = _maybe(halves, "half", _bits(shared, "half")).join(shared, "half")
+    met = bits.table(shared, "half").keep(halves, "half").join(shared, "half")
     candidates = met.groupBy("k1", "k2").agg(F.min(F.when(~F.col("last"), F.col("h"))).alias("first_h"), F.min(F.when(F.col("last"), F.col("h"))).alias("last_h"))
     candidates = settle(candidates, "line-candidates")
-    found = _maybe(_lines(documents).select("doc_id", "line_no", "words", *_keys()), "k1", _bits(candidates, "k1")).join(candidates, ["k1", "k2"])
+    found = bits.table(candidates, "k1").keep(_lines(documents).select("doc_id", "line_no", "words", *_keys()), "k1").join(candidates, ["k1", "k2"])
     distinct = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("words").alias("words"), F.first("first_h").alias("first_h"), F.first("last_h").alias("last_h"))
     distinct = settle(distinct.select("k1", "k2", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.size("words").alias("n"), "first_h", "last_h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "candidate-lines")
     variants = _short_variants(distinct).unionByName(_long_variants(distinct.repartition("k1", "k2")))
     keys = settle(variants.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("key"), "shared-variants")
-    met = settle(_maybe(variants, "key", _bits(keys, "key")).join(keys, "key"), "met-variants")
+    met = settle(bits.table(keys, "key").keep(variants, "key").join(keys, "key"), "met-variants")
     firsts = met.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "k1", "k2")).alias("first"))
     later = met.join(firsts, "key").where(F.struct("first.doc_id", "first.line_no") < F.struct("doc_id", "line_no"))
     pairs = later.groupBy("k1", "k2").agg(F.min("first").alias("first")).select("k1", "k2", F.col("first.k1").alias("e1"), F.col("first.k2").alias("e2"))
@@ -162,7 +150,7 @@ def earlier_lines(documents: DataFrame) -> DataFrame:
     again = known.groupBy("k1", "k2").agg(F.count("*").alias("lines")).where("lines > 1").select("k1", "k2", F.lit(False).alias("near"))
     asked = again.unionByName(_near(documents, known).withColumn("near", F.lit(True))).groupBy("k1", "k2").agg(F.max("near").alias("near"))
     asked = settle(asked, "asked-lines")
-    found = _maybe(known.select("k1", "k2", "doc_id", "h", "line_no"), "k1", _bits(asked, "k1")).join(asked, ["k1", "k2"])
+    found = bits.table(asked, "k1").keep(known.select("k1", "k2", "doc_id", "h", "line_no"), "k1").join(asked, ["k1", "k2"])
     found = settle(found, "found-lines")
     firsts = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     return found.join(firsts, ["k1", "k2"]).where(F.col("near") | (F.col("first") < F.struct("doc_id", "line_no"))).select("doc_id", "h", "line_no")
@@ -178,9 +166,10 @@ def dedup(documents: DataFrame) -> DataFrame:
 
 def cleaned(documents: DataFrame) -> DataFrame:
     """The documents with their dropped lines taken out of the text; all columns stay."""
-    drops = earlier_lines(documents).distinct().groupBy(F.col("doc_id").alias("d_id"), F.col("h").alias("d_h")).agg(F.collect_set("line_no").alias("d_lines"))
+    d, h, dropped = (free_name(documents, n) for n in ("drop_id", "drop_hash", "drop_lines"))
+    drops = earlier_lines(documents).distinct().groupBy(F.col("doc_id").alias(d), F.col("h").alias(h)).agg(F.collect_set("line_no").alias(dropped))
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("d_lines", F.array().cast("array<int>")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(dropped, F.array().cast("array<int>")))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    out = documents.join(drops, (F.col("doc_id") == F.col("d_id")) & (F.xxhash64("text") == F.col("d_h")), "left")
-    return out.withColumn("text", F.when(F.col("d_id").isNull(), F.col("text")).otherwise(text)).drop("d_id", "d_h", "d_lines")
+    out = documents.join(drops, (F.col("doc_id") == F.col(d)) & (F.xxhash64("text") == F.col(h)), "left")
+    return out.withColumn("text", F.when(F.col(d).isNull(), F.col("text")).otherwise(text)).drop(d, h, dropped)
