@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import cut_rows, word_spans
-from .store import settle
+from .store import free_name, settle
 
 FANOUT, LEVELS = 256, 3
 GRID = 32
@@ -91,6 +91,8 @@ def plan(totals: DataFrame, entropy: float | None = None, repeats: float | None
     """
     if (entropy is None) == (repeats is None):
         raise ValueError("give a target entropy or a limit of repeats")
+    if repeats is not None and budget is not None:
+        raise ValueError("a limit of repeats sets the budget itself")
     a = exponent_for_entropy(totals, entropy) if repeats is None else exponent_for_repeats(totals, repeats)
     r = totals.where("tokens > 0").agg(F.max("tokens").alias("m"), F.min("tokens").alias("l")).first()
     most, least = float(r["m"] or 1), float(r["l"] or 1)
@@ -153,6 +155,7 @@ def repeat(documents: DataFrame, mixed: DataFrame) -> DataFrame:
 
     How often is decided by id and source, so rows that repeat both share it; rows of no copies are left out.
     """
-    key = mixed.groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s")).agg(F.max("copies").alias("__n"))
-    rows = documents.join(key, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")))
-    return rows.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*documents.columns)
+    d, s, n, k = (free_name(documents, c) for c in ("mix_id", "mix_source", "mix_copies", "mix_turn"))
+    key = mixed.groupBy(F.col("doc_id").alias(d), F.col("source").alias(s)).agg(F.max("copies").alias(n))
+    rows = documents.join(key, F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)))
+    return rows.where(F.col(n) > 0).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*documents.columns)
