@@ -1,33 +1,14 @@
-"""Connected components by alternating large and small stars; nothing is collected but two numbers a round."""
+"""Connected components of links between signatures, by the engine's graph operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import settle
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+from ..operators import graph
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b. Returns node, root for every node but the roots; a root is the smallest node of its component.
-
-    Each round joins every node to the smallest of its neighbourhood, first towards larger neighbours, then
-    towards smaller ones; the stars are complete after a number of rounds that grows with the logarithm of the size.
-    """
-    e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(e)
-    while state[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = settle(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = settle(small.where("u <> v").distinct(), "edges")
-        if (now := _state(e)) == state:
-            break
-        state = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    """edges: a, b. Returns node, root for every node but the roots; a root is the smallest node of its component."""
+    found = graph.components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return found.where("vertex <> root").select(F.col("vertex").alias("node"), "root")

@@ -1,52 +1,13 @@
-"""Shared-folder tables that cut lineage, and small helpers for reading inputs."""
+"""Tables in the shared folder that cut lineage, and small helpers for reading inputs."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one in the local temporary folder only where that is unset and the master is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: later jobs start from the files, whatever executors are lost."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..plans.tables import new_path, release, settle, shared_folder
 
-@atexit.register
-def _forget() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; the folder's owner clears it
-            return
-    _written.clear()
+__all__ = ["fold", "free_name", "new_path", "read", "release", "settle", "shared_folder"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
