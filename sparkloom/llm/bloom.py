@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, MOST = 16, 28  # 2**MOST bits, 32 MB: with more than some 10**8 hashes it passes more, and never less than it must
+EACH = 256  # bits a value: many more hashes are asked than are put in, and one in some 600,000 passes that should not
+LEAST, MOST = 16, 30  # 2**MOST bits, 128 MB: with more than some 4 million values it passes more, and never less than it must
 _PIECES = 1 << 8
 
 
 def places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     """The three of 2**bits bits of each hash (uint64)."""
-    return [(hashes >> np.uint64(s) & np.uint64((1 << bits) - 1)).astype(np.int64) for s in (0, 18, 36)]
+    return [(hashes >> np.uint64(s) & np.uint64((1 << bits) - 1)).astype(np.int64) for s in (0, 17, 34)]
 
 
 def passes(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -28,8 +29,8 @@ def passes(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def build(df: DataFrame, column: str) -> np.ndarray:
-    """The filter of a settled table's long column, sixteen bits a value or so: partitions give pieces, which the executors merge; 32 MB at most reach the driver."""
-    bits = min(MOST, max(LEAST, (16 * df.count()).bit_length()))
+    """The filter of a settled table's long column: partitions give pieces, which the executors merge; 128 MB at most reach the driver."""
+    bits = min(MOST, max(LEAST, (EACH * df.count()).bit_length()))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = np.zeros(1 << (bits - 3), np.uint8)
