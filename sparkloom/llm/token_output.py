@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import cut_rows, mix64, span_hashes, word_spans
+from .kernel import cut_rows, mix64, span_hashes, tidy, word_spans
 from .store import new_path
 
 #: Units kept with their ids in each Python worker, some 40 bytes each: a matter of speed only.
@@ -230,7 +230,7 @@ def write(documents: DataFrame, tokenizer: str, end: int, path: str, block: int
 
         for batch in batches:
             last = batch.column(0).type
-            for part, data, offsets in cut_rows(batch, "text", 4 << 20):
+            for part, data, offsets in cut_rows(batch, "text"):
                 ids, upto = encoder(data, offsets)
                 names, begin = part.column(0).to_pylist(), 0
                 for k, stop in enumerate(upto.tolist()):
@@ -260,13 +260,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                edges = np.array([0, *row["ends"]], np.int64)
-                ids = unpack(row["payload"], row["bits"], 0, int(edges[-1]))
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                n = len(crc)
-                keys = pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type)
-                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), keys, pa.array(edges[:-1]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())], names=["shard", "block", "doc_id", "within", "n_tokens", "ids_crc32"])
+            shards, numbers, widths, doc_ids, ends, payloads = (batch.column(c) for c in ("shard", "block", "bits", "doc_ids", "ends", "payload"))
+            for k in range(batch.num_rows):  # a block after another, so that only one is unpacked at a time
+                edges = np.append(0, ends[k].values.to_numpy(zero_copy_only=False)).astype(np.int64)
+                ids = unpack(payloads[k].as_buffer(), widths[k].as_py(), 0, int(edges[-1]))
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                place = [pa.array(np.full(len(crc), x[k].as_py(), np.int32)) for x in (shards, numbers)]
+                yield pa.RecordBatch.from_arrays([*place, doc_ids[k].values, pa.array(edges[:-1]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())], names=["shard", "block", "doc_id", "within", "n_tokens", "ids_crc32"])
+            tidy()
 
     rows = files.select("shard", "block", "bits", "doc_ids", "ends", "payload").mapInArrow(documents, f"shard int, block int, doc_id {kind}, within long, n_tokens long, ids_crc32 long")
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
