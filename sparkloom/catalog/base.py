@@ -35,4 +35,13 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").selectExpr("o_orderkey AS idx", "CAST(round(o_totalprice * 100) AS BIGINT) AS cents", "o_totalprice AS price", "o_custkey AS cust", "o_orderstatus AS status", "o_orderpriority AS priority")
 
 
+def hash_sql(*seeds: object) -> str:
+    """What generators.bits gives for a portable seed."""
+    return f"CAST('0x' || substr(md5(concat_ws(',', {', '.join(map(str, seeds))})), 1, 13) AS BIGINT)"
+
+
+def unit_sql(*seeds: object) -> str:
+    return f"(CAST({hash_sql(*seeds)} AS DOUBLE) / 4503599627370496)"
+
+
 ORDERS = "(SELECT o_orderkey AS idx, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_totalprice AS price, o_custkey AS cust, o_orderstatus AS status, o_orderpriority AS priority FROM orders)"

@@ -68,10 +68,13 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
         g.in_circle(p2, q2, r2, s2).alias("in_circle"), F.round(g.angle(p2, q2, r2), 6).alias("angle"), g.min_angle_check(p2, q2, r2, 30.0).alias("skinny"), F.round(g.circumcentre(p2, q2, r2)[0], 6).alias("centre_x"))
 
 
-@query()
+_LONG = " * ".join(f"sqrt(({n}x - sx) * ({n}x - sx) + ({n}y - sy) * ({n}y - sy) + {_RISE[n]} * {_RISE[n]})" for n in "pqr")
+
+
+@query(f"SELECT p_partkey, round(({_IN}) / ({_LONG}), 9) AS value FROM {_P} WHERE (px, py) <> (sx, sy) AND (qx, qy) <> (sx, sy) AND (rx, ry) <> (sx, sy)")
 def in_circle_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _corners(spark, sf_dir).where("(px, py) <> (sx, sy) AND (qx, qy) <> (sx, sy) AND (rx, ry) <> (sx, sy)")
-    return rows.select("p_partkey", g.in_circle_normalised(*_flat()).alias("value"))
+    return rows.select("p_partkey", F.round(g.in_circle_normalised(*_flat()), 9).alias("value"))
 
 
 _E1, _E2 = [f"(q{c} - p{c})" for c in "xyz"], [f"(r{c} - p{c})" for c in "xyz"]

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from .base import Registry, read
+from ..sources.generators import Portable
+from .base import Registry, read, unit_sql
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -85,9 +86,9 @@ def edge_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_array(graph.symmetric(bipartite(spark, sf_dir)))
 
 
-@query()
+@query(f"SELECT eid, u, v, {unit_sql(0, 'eid')} AS weight FROM (SELECT row_number() OVER (ORDER BY u, v) - 1 AS eid, u, v FROM ({_BIPARTITE}))")
 def weighted_edge_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.weighted_edge_array(graph.symmetric(bipartite(spark, sf_dir)))
+    return graph.weighted_edge_array(graph.symmetric(bipartite(spark, sf_dir)), Portable(0))
 
 
 @query(f"SELECT u, count(*) AS degree FROM {_BOTH} GROUP BY u")

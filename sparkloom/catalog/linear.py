@@ -56,17 +56,23 @@ def block_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.block_transpose(items.select("idx", "v"), sources, targets)
 
 
+def _order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_id"), F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).cast("binary").alias("data"))
+
+
 @query("SELECT o_orderkey + (SELECT CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) FROM orders) AS node_id, sha256(o_orderpriority || o_orderkey) AS digest FROM orders")
 def merkle_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks_ = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_id"), F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).cast("binary").alias("data"))
+    blocks_ = _order_blocks(spark, sf_dir)
     n = blocks_.count()
     first = 1 << (n - 1).bit_length()
     return merkle.tree(blocks_).where(F.col("node_id").between(first, first + n - 1)).select("node_id", F.lower(F.hex("digest")).alias("digest"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS n FROM orders), r AS (SELECT node_id, coalesce(sha256(data), sha256('')) AS digest
+FROM (SELECT n + range AS node_id, range AS block_id FROM w, range((SELECT n FROM w))) LEFT JOIN (SELECT o_orderkey AS block_id, o_orderpriority || o_orderkey AS data FROM orders) USING (block_id)
+UNION ALL SELECT node_id // 2, sha256(CAST(bit_or(CAST(unhex(digest) AS BIT)) AS BLOB)) FROM r WHERE node_id > 1 GROUP BY node_id // 2) SELECT * FROM r""")
 def merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.tree(generators.byte_blocks(spark, 64, 1024), "sha512")
+    return merkle.tree(_order_blocks(spark, sf_dir)).select("node_id", F.lower(F.hex("digest")).alias("digest"))
 
 
 @query()

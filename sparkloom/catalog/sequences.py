@@ -185,9 +185,13 @@ def upper_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.upper_bound(orders(spark, sf_dir), keys, "price", "key").select("key", "at")
 
 
-@query()
+@query(f"SELECT idx, true AS near FROM {ORDERS}")
 def approximate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seq.almost_kth(orders(spark, sf_dir), "price", 0.5).select("idx", "side")
+    """Each side holds half of the rows, but for one in a thousand, and no lower one is above an upper one."""
+    split = seq.almost_kth(orders(spark, sf_dir), "price", 0.5).select("idx", "side", "price")
+    sides = split.agg(F.count("*").alias("n"), F.count_if(F.col("side") == "lower").alias("lower"), F.max(F.when(F.col("side") == "lower", F.col("price"))).alias("high"), F.min(F.when(F.col("side") == "upper", F.col("price"))).alias("low"))
+    near = (F.abs(F.col("lower") - F.col("n") / 2) <= F.col("n") / 1000 + 1) & (F.col("high") <= F.col("low"))
+    return split.crossJoin(sides.select(near.alias("near"))).select("idx", "near")
 
 
 @query(f"SELECT CAST(bit_or(cents) AS BIGINT) AS v FROM {ORDERS}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import new_path
 from ..sources import files, generators
-from .base import ORDERS, Registry, orders, read
+from .base import ORDERS, Registry, hash_sql, orders, read, unit_sql
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -26,33 +26,62 @@ def generate_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.permutation(spark, 50_000, 31)
 
 
-def _plain(name: str, make) -> None:
-    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return make(spark)
-
-    made.__name__ = name
-    query()(made)
-
-
-for _name, _make in {
-    "generate_ints": lambda s: generators.random_ints(s, 50_000),
-    "generate_doubles": lambda s: generators.random_doubles(s, 50_000),
-    "generate_bounded": lambda s: generators.bounded_ints(s, 50_000, 1000),
-    "generate_almost_sorted": lambda s: generators.almost_sorted(s, 50_000, 200),
-    "generate_exponential": lambda s: generators.exponential_ints(s, 50_000),
-    "generate_pairs": lambda s: generators.with_payload(generators.random_ints(s, 50_000), 256),
-    "generate_square": lambda s: generators.uniform_square(s, 50_000),
-    "generate_cube": lambda s: generators.uniform_square(s, 50_000, 3),
-    "generate_in_sphere": lambda s: generators.in_sphere(s, 50_000, 3),
-    "generate_on_sphere": lambda s: generators.on_sphere(s, 50_000, 3),
-    "generate_kuzmin": lambda s: generators.kuzmin(s, 50_000),
-    "generate_plummer": lambda s: generators.plummer(s, 50_000),
-    "generate_rays": lambda s: generators.ray_scene(s, 10_000)[2],
-    "generate_ray_triangles": lambda s: generators.ray_scene(s, 10_000)[0],
-    "generate_blocks": lambda s: generators.byte_blocks(s, 256, 1024),
-    "generate_nested": lambda s: generators.nested_rows(s, 300),
+_SEED = generators.Portable(0)
+_ROWS = "FROM (SELECT range AS idx FROM range(50000))"
+_TURN = {2: [f"cos(2 * pi() * {unit_sql(0, 11, 'idx')})", f"sin(2 * pi() * {unit_sql(0, 11, 'idx')})"]}
+_FLAT = f"sqrt(1 - (2 * {unit_sql(0, 12, 'idx')} - 1) * (2 * {unit_sql(0, 12, 'idx')} - 1))"
+_TURN[3] = [f"{_FLAT} * {_TURN[2][0]}", f"{_FLAT} * {_TURN[2][1]}", f"2 * {unit_sql(0, 12, 'idx')} - 1"]
+
+
+def _points_sql(radius: str, axes: list[str]) -> str:
+    return f"SELECT idx AS pid, {', '.join(f'round({radius} * ({a}), 9) AS {n}' for a, n in zip(axes, 'xyz', strict=False))} {_ROWS}"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_SWAPS = f"(SELECT range AS k, {hash_sql(0, 1, 'range')} % 50000 AS a, {hash_sql(0, 2, 'range')} % 50000 AS b FROM range(200))"
+_POWER = f"pow(2, floor({unit_sql(0, 1, 'idx')} * 16))"
+_CORNERS = [("0", "0", "0"), ("0.01", "0.01", "0"), ("0.01", "0", "0.01")]
+_SCENE = " UNION ALL ".join(f"SELECT idx * 3 + {k} AS pid, {', '.join(f'2 * {unit_sql(0, axis, "idx")} - 1 + CAST({d} AS DOUBLE) AS {n}' for axis, (d, n) in enumerate(zip(c, 'xyz', strict=True)))} FROM (SELECT range AS idx FROM range(10000))" for k, c in enumerate(_CORNERS))
+_ON_FACE = {c + k: f"low_{c} + (high_{c} - low_{c}) * {unit_sql(1, n, 'rid')}" for n, (c, k) in enumerate((("x", "o"), ("y", "o"), ("x", "e"), ("y", "e")), 1)}
+
+for _name, (_make, _sql) in {
+    "generate_ints": (lambda s: generators.random_ints(s, 50_000, _SEED), f"SELECT idx, CAST({hash_sql(0, 'idx')} >> 21 AS INT) AS v {_ROWS}"),
+    "generate_doubles": (lambda s: generators.random_doubles(s, 50_000, _SEED), f"SELECT idx, round({unit_sql(0, 'idx')}, 9) AS v {_ROWS}"),
+    "generate_bounded": (lambda s: generators.bounded_ints(s, 50_000, 1000, _SEED), f"SELECT idx, {hash_sql(0, 'idx')} % 1000 AS v {_ROWS}"),
+    "generate_almost_sorted": (
+        lambda s: generators.almost_sorted(s, 50_000, 200, _SEED),
+        f"WITH RECURSIVE s AS {_SWAPS}, r AS (SELECT CAST(0 AS BIGINT) AS k, a AS v, a AS place FROM (SELECT a FROM s UNION SELECT b FROM s) UNION ALL SELECT r.k + 1, v, CASE place WHEN a THEN b WHEN b THEN a ELSE place END FROM r JOIN s ON s.k = r.k) "
+        f"SELECT place AS idx, v FROM r WHERE k = 200 UNION ALL SELECT idx, idx AS v {_ROWS} WHERE idx NOT IN (SELECT v FROM r)",
+    ),
+    "generate_exponential": (lambda s: generators.exponential_ints(s, 50_000, _SEED), f"SELECT idx, CAST({hash_sql(0, 'pick')} >> 21 AS INT) AS v FROM (SELECT idx, CAST({_POWER} + floor({unit_sql(0, 2, 'idx')} * {_POWER}) AS BIGINT) AS pick {_ROWS})"),
+    "generate_pairs": (lambda s: generators.with_payload(generators.random_ints(s, 50_000, _SEED), 256, _SEED + 7), f"SELECT idx, CAST({hash_sql(0, 'idx')} >> 21 AS INT) AS v, {hash_sql(7, 'idx')} % 256 AS w {_ROWS}"),
+    "generate_square": (lambda s: generators.uniform_square(s, 50_000, 2, _SEED), _points_sql("1", [f"2 * {unit_sql(0, k, 'idx')} - 1" for k in range(2)])),
+    "generate_cube": (lambda s: generators.uniform_square(s, 50_000, 3, _SEED), _points_sql("1", [f"2 * {unit_sql(0, k, 'idx')} - 1" for k in range(3)])),
+    "generate_in_sphere": (lambda s: generators.in_sphere(s, 50_000, 3, _SEED), _points_sql(f"pow({unit_sql(0, 10, 'idx')}, CAST(1 AS DOUBLE) / 3)", _TURN[3])),
+    "generate_on_sphere": (lambda s: generators.on_sphere(s, 50_000, 3, _SEED), _points_sql("1", _TURN[3])),
+    "generate_kuzmin": (lambda s: generators.kuzmin(s, 50_000, _SEED), _points_sql(f"sqrt(1 / ((1 - {unit_sql(0, 10, 'idx')}) * (1 - {unit_sql(0, 10, 'idx')})) - 1)", _TURN[2])),
+    "generate_plummer": (lambda s: generators.plummer(s, 50_000, _SEED), _points_sql("sqrt({0} / (1 - {0}))".format(f"pow({unit_sql(0, 10, 'idx')}, CAST(2 AS DOUBLE) / 3)"), _TURN[3])),
+    "generate_rays": (
+        lambda s: generators.ray_scene(s, 10_000, _SEED)[2],
+        f"WITH b AS (SELECT {', '.join(f'min({c}) AS low_{c}, max({c}) AS high_{c}' for c in 'xyz')} FROM ({_SCENE})), r AS (SELECT range AS rid, {', '.join(f'{v} AS {k[1]}{k[0]}' for k, v in _ON_FACE.items())}, low_z, high_z FROM range(10000), b) "
+        "SELECT rid, round(ox, 9) AS ox, round(oy, 9) AS oy, round(low_z, 9) AS oz, round(ex - ox, 9) AS dx, round(ey - oy, 9) AS dy, round(high_z - low_z, 9) AS dz FROM r",
+    ),
+    "generate_ray_triangles": (lambda s: generators.ray_scene(s, 10_000, _SEED)[0], f"SELECT pid, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM ({_SCENE})"),
+    "generate_blocks": (
+        lambda s: generators.byte_blocks(s, 256, 1000).select("block_id", F.lower(F.hex("data")).alias("data")),
+        "SELECT range AS block_id, substr(list_aggregate(list_transform(range(32), lambda k: sha256('0,' || range || ',' || k)), 'string_agg', ''), 1, 2000) AS data FROM range(256)",
+    ),
+    "generate_nested": (lambda s: generators.nested_rows(s, 300, _SEED), f"SELECT seg, pos, CAST({hash_sql(0, 'seg', 'pos')} % 256 AS INT) AS v FROM (SELECT range AS seg, unnest(range(range)) AS pos FROM range(1, 300))"),
 }.items():
-    _plain(_name, _make)
+
+    def _made(spark: SparkSession, sf_dir: str, make=_make) -> DataFrame:
+        return _rounded(make(spark))
+
+    _made.__name__ = _name
+    query(_sql)(_made)
 
 
 @query(f"SELECT idx, cents AS v FROM {ORDERS}")

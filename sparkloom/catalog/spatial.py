@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import mesh, spatial
+from ..functions import geometry
+from ..operators import forces, mesh, spatial
+from ..sources import generators
 from .base import Registry, read
 from .geometry import hit_sql
 
@@ -32,16 +34,23 @@ def _columns(body: str) -> list[str]:
     return [*out, body[last:].strip()]
 
 
+# The corners e in order: clockwise from the leftmost.
+_CLOCKWISE = """w AS (SELECT *, first_value(x) OVER lo AS lx, first_value(y) OVER lo AS ly, first_value(x) OVER hi AS hx, first_value(y) OVER hi AS hy FROM e WINDOW lo AS (ORDER BY x, y), hi AS (ORDER BY x DESC, y DESC)),
+s AS (SELECT pid, x, y, CASE WHEN (x, y) = (lx, ly) THEN 0 WHEN (x, y) = (hx, hy) THEN 1 WHEN (hx - lx) * (y - ly) - (hy - ly) * (x - lx) > 0 THEN 0 ELSE 1 END AS chain FROM w)
+SELECT row_number() OVER (ORDER BY chain, CASE WHEN chain = 0 THEN x ELSE -x END, CASE WHEN chain = 0 THEN y ELSE -y END) - 1 AS place, pid FROM s"""
+
+
 @query(f"""WITH p AS ({_SUPPLIERS}), q AS (SELECT min(pid) AS pid, x, y FROM p GROUP BY x, y), e AS (SELECT DISTINCT a.pid, a.x, a.y FROM q a JOIN q b ON a.pid <> b.pid
 WHERE NOT EXISTS (SELECT 1 FROM q c WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (c.x - a.x) * (b.x - c.x) + (c.y - a.y) * (b.y - c.y) < 0))),
-w AS (SELECT *, first_value(x) OVER lo AS lx, first_value(y) OVER lo AS ly, first_value(x) OVER hi AS hx, first_value(y) OVER hi AS hy FROM e WINDOW lo AS (ORDER BY x, y), hi AS (ORDER BY x DESC, y DESC)),
-s AS (SELECT pid, x, y, CASE WHEN (x, y) = (lx, ly) THEN 0 WHEN (x, y) = (hx, hy) THEN 1 WHEN (hx - lx) * (y - ly) - (hy - ly) * (x - lx) > 0 THEN 0 ELSE 1 END AS chain FROM w)
-SELECT row_number() OVER (ORDER BY chain, CASE WHEN chain = 0 THEN x ELSE -x END, CASE WHEN chain = 0 THEN y ELSE -y END) - 1 AS place, pid FROM s""")
+{_CLOCKWISE}""")
 def convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.hull(_made(spark, sf_dir, _SUPPLIERS))
 
 
-@query()
+# A corner sees all other points within less than half a turn; points lie on a grid, so that no other angle is nearer to it than 1e-9.
+@query(f"""WITH p AS ({_CUSTOMERS}), q AS (SELECT min(pid) AS pid, x, y FROM p GROUP BY x, y), d AS (SELECT a.pid, a.x, a.y, atan2(b.y - a.y, b.x - a.x) AS turn FROM q a JOIN q b ON a.pid <> b.pid),
+n AS (SELECT pid, x, y, coalesce(lead(turn) OVER (PARTITION BY pid ORDER BY turn), min(turn) OVER (PARTITION BY pid) + 2 * pi()) - turn AS gap FROM d), e AS (SELECT pid, x, y FROM n GROUP BY ALL HAVING max(gap) > pi() + 1e-10),
+{_CLOCKWISE}""")
 def convex_hull_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.hull(_made(spark, sf_dir, _CUSTOMERS))
 
@@ -151,6 +160,28 @@ def cell_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.cell_tree(_made(spark, sf_dir, _CUSTOMERS), ["x", "y"], 0.0, 16384.0, 16, _LEVELS)
 
 
-@query()
+def _errors(spark: SparkSession, sf_dir: str, near) -> DataFrame:
+    """id, error: relative to the direct sum."""
+    bodies = _made(spark, sf_dir, _BODIES)
+    both = spatial.direct_forces(bodies).join(near(bodies).toDF("id", "nx", "ny", "nz"), "id")
+    d, f = (geometry.sub(geometry.point("fx", "fy", "fz"), geometry.point("nx", "ny", "nz")), geometry.point("fx", "fy", "fz"))
+    return both.select("id", (geometry.length(d) / geometry.length(f)).alias("error"))
+
+
+@query("SELECT count(*) AS n, true AS near FROM customer")
 def approximate_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.approximate_forces(_made(spark, sf_dir, _BODIES))
+    """A mean error below 0.5 % by quadrupoles."""
+    return _errors(spark, sf_dir, spatial.approximate_forces).agg(F.count("*").alias("n"), (F.avg("error") < 0.005).alias("near"))
+
+
+@query("SELECT count(*) AS n, true AS near, true AS all_near FROM customer")
+def multipole_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mean error below 1e-6, and none above 1e-3, by expansions."""
+    return _errors(spark, sf_dir, lambda b: forces.multipole_forces(b, leaf=16)).agg(F.count("*").alias("n"), (F.avg("error") < 1e-6).alias("near"), (F.max("error") < 1e-3).alias("all_near"))
+
+
+@query()
+def multipole_forces_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many bodies in a sphere as there are line items."""
+    n = read(spark, sf_dir, "lineitem").count()
+    return forces.multipole_forces(generators.particles(generators.in_sphere(spark, n, 3)))

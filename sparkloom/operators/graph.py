@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans import blocks, rounds
 from ..plans.tables import release, settle
+from ..sources.generators import unit
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -23,8 +24,7 @@ def edge_array(adjacency: DataFrame) -> DataFrame:
 
 def weighted_edge_array(adjacency: DataFrame, seed: int = 0) -> DataFrame:
     """edge_array with a weight in [0, 1) from a hash of the edge id."""
-    share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "eid"), 11) / float(1 << 53)
-    return edge_array(adjacency).withColumn("weight", share)
+    return edge_array(adjacency).withColumn("weight", unit(seed, F.col("eid")))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

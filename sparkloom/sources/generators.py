@@ -8,9 +8,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def unit(*seed: Column | int) -> Column:
+class Portable(int):
+    """A seed whose hashes other engines can repeat: 52 bits of an MD5 of the seeds as text. Plain seeds hash faster."""
+
+    def __add__(self, other: int) -> Portable:
+        return Portable(int(self) + other)
+
+
+def bits(seed: int, *more: Column | int) -> Column:
+    """A long from a hash of the seeds: of all 64 bits for a plain seed, of 52 for a portable one."""
+    seeds = [F.lit(int(s)) if isinstance(s, int) else s for s in (seed, *more)]
+    if isinstance(seed, Portable):
+        return F.conv(F.substring(F.md5(F.concat_ws(",", *[s.cast("string") for s in seeds])), 1, 13), 16, 10).cast("long")
+    return F.xxhash64(*seeds)
+
+
+def unit(seed: int, *more: Column | int) -> Column:
     """A double in [0, 1) from a hash of the seeds."""
-    return F.shiftrightunsigned(F.xxhash64(*[F.lit(s) if isinstance(s, int) else s for s in seed]), 11) / float(1 << 53)
+    if isinstance(seed, Portable):
+        return bits(seed, *more) / float(1 << 52)
+    return F.shiftrightunsigned(bits(seed, *more), 11) / float(1 << 53)
+
+
+def _int(seed: int, *more: Column | int) -> Column:
+    """An int from 0 from the high 31 bits of a hash."""
+    return F.shiftrightunsigned(bits(seed, *more), 21 if isinstance(seed, Portable) else 33).cast("int")
 
 
 def _range(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
@@ -18,7 +40,7 @@ def _range(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
 
 
 def random_ints(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    return _range(spark, n).select("idx", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "idx"), 33).cast("int").alias("v"))
+    return _range(spark, n).select("idx", _int(seed, F.col("idx")).alias("v"))
 
 
 def random_doubles(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
@@ -26,14 +48,14 @@ def random_doubles(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
 
 
 def bounded_ints(spark: SparkSession, n: int, bound: int, seed: int = 0) -> DataFrame:
-    return _range(spark, n).select("idx", F.pmod(F.xxhash64(F.lit(seed), "idx"), F.lit(bound)).alias("v"))
+    return _range(spark, n).select("idx", F.pmod(bits(seed, F.col("idx")), F.lit(bound)).alias("v"))
 
 
 def almost_sorted(spark: SparkSession, n: int, swaps: int, seed: int = 0) -> DataFrame:
     """0..n-1 after `swaps` exchanges, one after the other, of two hashed places."""
     if n < 1:
         return _range(spark, 0).select("idx", F.col("idx").alias("v"))
-    pairs = spark.range(swaps).select(F.pmod(F.xxhash64(F.lit(seed), F.lit(1), "id"), F.lit(n)).alias("a"), F.pmod(F.xxhash64(F.lit(seed), F.lit(2), "id"), F.lit(n)).alias("b"), "id").orderBy("id")
+    pairs = spark.range(swaps).select(F.pmod(bits(seed, 1, F.col("id")), F.lit(n)).alias("a"), F.pmod(bits(seed, 2, F.col("id")), F.lit(n)).alias("b"), "id").orderBy("id")
     moved: dict[int, int] = {}
     for r in pairs.collect():  # `swaps` rows, a parameter
         a, b = r["a"], r["b"]
@@ -51,12 +73,12 @@ def exponential_ints(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     levels = max(1, int(math.log2(max(n, 2))) + 1)
     j = F.floor(unit(seed, 1, F.col("idx")) * levels)
     pick = F.pow(F.lit(2.0), j) + F.floor(unit(seed, 2, F.col("idx")) * F.pow(F.lit(2.0), j))
-    return _range(spark, n).select("idx", F.shiftrightunsigned(F.xxhash64(F.lit(seed), pick.cast("long")), 33).cast("int").alias("v"))
+    return _range(spark, n).select("idx", _int(seed, pick.cast("long")).alias("v"))
 
 
 def with_payload(df: DataFrame, bound: int, seed: int = 7) -> DataFrame:
     """A second column w in [0, bound)."""
-    return df.withColumn("w", F.pmod(F.xxhash64(F.lit(seed), "idx"), F.lit(bound)))
+    return df.withColumn("w", F.pmod(bits(seed, F.col("idx")), F.lit(bound)))
 
 
 def _points(df: DataFrame, *axes: Column) -> DataFrame:
@@ -132,7 +154,7 @@ def byte_blocks(spark: SparkSession, n: int, size: int, seed: int = 0) -> DataFr
 def nested_rows(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """seg, pos, v: row i has i items."""
     rows = spark.range(1, n).select(F.col("id").alias("seg"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") - 1)).alias("pos"))
-    return rows.select("seg", "pos", F.pmod(F.xxhash64(F.lit(seed), "seg", "pos"), F.lit(256)).cast("int").alias("v"))
+    return rows.select("seg", "pos", F.pmod(bits(seed, F.col("seg"), F.col("pos")), F.lit(256)).cast("int").alias("v"))
 
 
 def permutation(spark: SparkSession, n: int, start: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graph, linalg, merkle, mesh, sequence, sets, spatial, text
+from sparkloom.operators import forces, graph, linalg, merkle, mesh, sequence, sets, spatial, text
 from sparkloom.plans import blocks
 from sparkloom.sources import files, generators
 
@@ -266,3 +266,20 @@ def test_cell_forces_are_near_the_direct_sum(spark):
     bodies = generators.particles(generators.in_sphere(spark, 400, 3))
     exact, near = (f(bodies).orderBy("id").toPandas()[["fx", "fy", "fz"]].to_numpy() for f in (spatial.direct_forces, lambda b: spatial.approximate_forces(b, 3)))
     assert np.mean(np.linalg.norm(near - exact, axis=1) / np.linalg.norm(exact, axis=1)) < 5e-3
+
+
+def test_multipole_forces_on_clusters(spark):
+    bodies = generators.particles(generators.plummer(spark, 1500)).withColumn("mass", F.col("id") % 5 - 1.0).cache()
+    twice = bodies.unionByName(bodies.where("id < 20").withColumn("id", F.col("id") + 5000))
+    exact, near = (f(twice).orderBy("id").toPandas()[["fx", "fy", "fz"]].to_numpy() for f in (spatial.direct_forces, lambda b: forces.multipole_forces(b, leaf=8)))
+    real = np.linalg.norm(exact, axis=1) > 0
+    assert real.sum() > 1000 and not near[~real].any()
+    assert np.mean(np.linalg.norm((near - exact)[real], axis=1) / np.linalg.norm(exact[real], axis=1)) < 1e-5
+
+
+def test_multipole_forces_of_few(spark):
+    few = lambda rows: forces.multipole_forces(spark.createDataFrame(rows, "id long, x double, y double, z double, mass double")).orderBy("id").collect()
+    assert few([]) == [] and [tuple(r) for r in few([(7, 1.0, 1.0, 1.0, 2.0)])] == [(7, 0.0, 0.0, 0.0)]
+    assert [tuple(r)[1:] for r in few([(1, 1.0, 1.0, 1.0, 2.0), (2, 1.0, 1.0, 1.0, 3.0)])] == [(0.0, 0.0, 0.0)] * 2
+    a, b = few([(1, 0.0, 0.0, 0.0, 2.0), (2, 2.0, 0.0, 0.0, 3.0)])
+    assert np.allclose(tuple(a)[1:], (1.5, 0, 0)) and np.allclose(tuple(b)[1:], (-1.5, 0, 0))
