@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import settle
+from .store import free_name, settle
 
 WORDS = 1 << 19  # 4 MB at most
 MOST = WORDS * 16
@@ -25,9 +25,15 @@ class Bits:
         self.words, self.size = words, size
 
     def keep(self, df: DataFrame, column: str) -> DataFrame:
-        """The rows whose `column` may be among the keys; null never is."""
-        rows = df.where(F.col(column).isNotNull())
-        return rows if self.words is None else rows.where(self._test(column))
+        """The rows whose `column` may be among the keys; null never is.
+
+        The test reads the value several times. It reads it from a row of its own, as a filter on the column itself would go below
+        the projection that computes it, and compute it (say, from words of a text) once a reading.
+        """
+        if self.words is None:
+            return df.where(F.col(column).isNotNull())
+        value = free_name(df, "value")
+        return df.withColumn(value, F.explode(F.array(column))).where(F.col(value).isNotNull() & self._test(value)).drop(value)
 
     def flag(self, df: DataFrame, column: str, name: str) -> DataFrame:
         """df with a boolean column `name`: whether the value of `column` may be among the keys."""
