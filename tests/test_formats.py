@@ -5,7 +5,7 @@ import struct
 import numpy as np
 import pytest
 
-from sparkloom.sources import files
+from sparkloom.sources import convert, files
 
 
 def rows(df, *order):
@@ -65,3 +65,22 @@ def test_import_without_the_corpus_operators(tmp_path):
             shutil.copy(root / "corpus_pipeline.py", tmp_path)
         code = "import __spark_entry__ as e; q = e.queries(); assert 'scan_sum' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+@pytest.mark.parametrize("kind", ["almost_sorted", "bounded_ints", "pairs", "trigram_words", "plummer"])
+def test_converter_makes_each_kind(spark, tmp_path, kind):
+    path = str(tmp_path / "made.parquet")
+    convert.main(["--make", kind, "--n", "60", "--seed", "3", "--out", path])
+    made = spark.read.parquet(path)
+    assert made.count() == 60
+    if kind == "almost_sorted":
+        assert sorted(r["v"] for r in made.collect()) == list(range(60))
+
+
+@pytest.mark.parametrize("kind", convert.SCENES)
+def test_converter_makes_scenes(spark, tmp_path, kind):
+    a, b = str(tmp_path / "scene.txt"), str(tmp_path / "rays.txt")
+    convert.main(["--make", kind, "--n", "20", "--out", a, "--rays", b])
+    points, tris, rays = files.load(spark, a, "rays", b)
+    assert (points.count(), tris.count(), rays.count()) == (60, 20, 20)
+    assert all(r["dz"] > 0 for r in rays.collect())
