@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 from .kernel import cut_rows, mix64, span_hashes, tidy, word_spans
 from .store import new_path
 
-#: Units kept with their ids in each Python worker, some 40 bytes each: a matter of speed only.
-MEMORY = 1_500_000
+#: Units kept with their ids in each Python worker, and eight times as many ids of theirs, some 70 bytes a unit at most: a matter of speed only.
+#: Workers keep them between stages, and what they hold counts against their executor.
+MEMORY = 400_000
 
 
 def width(vocabulary: int) -> int:
@@ -114,7 +115,8 @@ class Encoder:
         self.ids = np.zeros(0, "<u4")
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """One text after another: what the library tells of a text besides its ids takes some 100 bytes a token."""
+        return [np.array(self.library.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4") for t in texts]
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units, and how many each has. They are encoded as running text; the bytes that ids stand for tell where each unit ends.
@@ -154,9 +156,10 @@ class Encoder:
         return self.begins[near], self.sizes[near]
 
     def _forget(self) -> None:
-        """Keep the units met more than once since the last time."""
+        """Keep the units met more than once since the last time, the most met first, as far as half the memory goes in units and in ids."""
         keep = np.flatnonzero(self.met > 1)
-        keep = keep if len(keep) <= MEMORY // 2 else keep[np.argsort(-self.met[keep], kind="stable")[: MEMORY // 2]]
+        keep = keep[np.argsort(-self.met[keep], kind="stable")[: MEMORY // 2]]
+        keep = keep[np.cumsum(self.sizes[keep]) <= 4 * MEMORY]
         keep.sort()
         sizes = self.sizes[keep]
         self.ids = self.ids[np.repeat(self.begins[keep] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
@@ -180,7 +183,7 @@ class Encoder:
         keys, index, place = np.unique(mix64(span_hashes(data, starts, ends) + kind), return_index=True, return_inverse=True)
         since, until = starts[index] - ~opens[index], ends[index]
         checks = (span_hashes(data ^ np.uint8(0x5A), *(x[np.argsort(index)] for x in (since, until)))[np.argsort(np.argsort(index))] >> np.uint64(32)).astype(np.uint32) if len(index) else np.zeros(0, np.uint32)
-        if len(self.keys) > MEMORY:
+        if len(self.keys) > MEMORY or len(self.ids) > 8 * MEMORY:
             self._forget()
         begin, size = self._look_up(keys, checks, lambda k: flat[since[k] : until[k]])
         table = self.ids

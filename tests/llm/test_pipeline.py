@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 from helpers import documents, words
 
 import corpus_pipeline
 from sparkloom.llm import ngram_join
+from sparkloom.llm.store import BATCH
 
 
 def test_stages_one_by_one(spark, tmp_path):
@@ -31,3 +33,25 @@ def test_stages_one_by_one(spark, tmp_path):
 
 def test_stages_name_the_operators():
     assert len(corpus_pipeline.STAGES) == 5 and ngram_join.keep_first.__name__ == "keep_first"
+
+
+def test_workers_get_a_few_mb_at_a_time(spark):
+    """An executor's workers and its JVM hold a batch for each task at once."""
+    kind, own = "doc_id long, text string, lang string, source string", spark.conf.get(BATCH, None)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text", "'xx' AS lang", "'a' AS source")
+    try:
+        spark.conf.unset(BATCH)
+        docs = corpus_pipeline.identify_language(spark, spark.createDataFrame([(1, "some words", "xx", "a")], kind), "")
+        assert docs.count() == 1
+        got = [r["size"] for r in rows.mapInArrow(sizes, "size long").collect()]
+        assert sum(got) > 30_000_000 and max(got) < 8_000_000
+        spark.conf.set(BATCH, "1m")  # a session's own size stays
+        corpus_pipeline.identify_language(spark, docs, "")
+        assert spark.conf.get(BATCH) in ("1m", "1048576")
+    finally:
+        spark.conf.unset(BATCH) if own is None else spark.conf.set(BATCH, own)

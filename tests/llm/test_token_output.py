@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import documents, odd_rows, words
 from hypothesis import given, settings
@@ -38,6 +39,19 @@ def test_ids_with_a_small_memory(monkeypatch):
         assert encoded(texts) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_memory_is_bounded_in_ids_too(monkeypatch):
+    """Units of very many ids: what is kept of them follows their ids, not their number."""
+    monkeypatch.setattr(token_output, "MEMORY", 100)
+    rng, encoder, own = random.Random(3), token_output.Encoder(PATH), []
+    again = "".join(words(rng, 500))
+    for _ in range(6):
+        texts = [again + "0 " + "".join(words(rng, 500)) + " " + again + "1 tail " + again + "0" for _ in range(2)]
+        ids, ends = encoder(*string_bytes(pa.array(texts, pa.string())))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+        own.append(len(ids))
+    assert len(encoder.keys) <= 100 and len(encoder.ids) <= 8 * 100 + max(own)
+
+
 def test_special_tokens_are_the_librarys():
     """The contract asks for the library's ids without further settings: a special token's literal is that token."""
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\n<|endoftext|><|endoftext|>", "<|endof", "text|> plain", "no token here"]
