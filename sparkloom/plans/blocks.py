@@ -29,9 +29,9 @@ def dense_index(df: DataFrame, *order: Column | str, name: str = "idx") -> DataF
     """df with the position of each row in the given total order, from 0: a range-partitioned sort, a count for each partition, and no global window."""
     rows = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "sorted")
     rows = rows.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
-    upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition, so that the rows need no second shuffle
     base = rows.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__b"))
-    return rows.join(base, "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__m", "__p", "__i", "__b")
+    return rows.join(F.broadcast(base), "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__m", "__p", "__i", "__b")
 
 
 def scans(df: DataFrame, value: str, monoid: str, identity, kinds: dict[str, tuple[bool, bool]], *, idx: str = "idx", block: int = BLOCK) -> DataFrame:

@@ -1,8 +1,8 @@
 """Readers and writers of the plain text and binary formats for sequences, points, triangles, rays and graphs.
 
-Text is split into words where it is read; the place of a word in its file is found by
-counts of lines and a dense index, so large files are read in parallel. Binary formats are decoded
-from whole files by Arrow Python. Parquet is the native format.
+Text is split into words where it is read; the place of a word is its place in its piece of a file
+plus the counts of all pieces before, so large files are read in parallel and no word is sorted.
+Binary formats are decoded from whole files by Arrow Python. Parquet is the native format.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans import blocks
@@ -30,11 +30,25 @@ class WrongHeader(ValueError):
     pass
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """value of each line, file and start of the piece that it was read in. Spark deals large pieces first, so its partitions are not in the files' order."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    """Of the first file by name; empty if there is none."""
+    lines = _lines(spark, path).withColumn("m", F.monotonically_increasing_id())
+    return lines.agg(F.min_by("value", F.struct("file", "start", "m")).alias("v")).first()["v"] or ""
+
+
 def words(spark: SparkSession, path: str) -> DataFrame:
-    """i (from 0), word: all words of one text file in order."""
-    lines = spark.read.text(path).withColumn("m", F.monotonically_increasing_id())
-    split = lines.select("m", F.posexplode(F.split("value", r"[ \t\r\n\x00]+")).alias("k", "word")).where("word <> ''")
-    return blocks.dense_index(split, "m", "k", name="i").select("i", "word")
+    """i (from 0), word: all words of a text file, or of a folder's files by name, in order."""
+    split = _lines(spark, path).select("file", "start", F.explode(F.split("value", r"[ \t\r\n\x00]+")).alias("word")).where("word <> ''")
+    rows = settle(split.select("file", "start", F.monotonically_increasing_id().alias("m"), "word"), "words")
+    upto = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row a piece
+    pieces = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("m").alias("m0"))
+    pieces = pieces.select("file", "start", (F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("m0")).alias("shift"))
+    return rows.join(F.broadcast(pieces), ["file", "start"]).select((F.col("m") + F.col("shift")).alias("i"), "word")
 
 
 def _body(all_: DataFrame, header: str | None) -> DataFrame:
@@ -51,6 +65,8 @@ def records(all_: DataFrame, width: int, names: list[str], kinds: list[str], idx
     rows = all_.where(F.col("i") >= start)
     if count is not None:
         rows = rows.where(F.col("i") < start + width * count)
+    if width == 1:
+        return rows.select((F.col("i") - start).alias(idx), F.col("word").cast(kinds[0]).alias(names[0]))
     at = F.floor((F.col("i") - start) / width).cast("long").alias(idx)
     picks = [F.max(F.when(F.pmod(F.col("i") - start, F.lit(width)) == k, F.col("word"))).cast(kind).alias(name) for k, (name, kind) in enumerate(zip(names, kinds, strict=True))]
     return rows.groupBy(at).agg(*picks)
@@ -332,8 +348,7 @@ def load(spark: SparkSession, path: str, kind: str = "long", second: str | None
         }
         return binary[kind](spark, path) if kind in binary else read_binary_sequence(spark, path, kind)
     if path.endswith(".txt"):
-        first = spark.read.text(path).first()
-        header = first["value"].strip() if first else ""
+        header = first_line(spark, path).strip()
         told = HEADERS.get(header)
         if told == "triangles" or kind in ("triangles", "rays") or second is not None:
             head = header if told else None

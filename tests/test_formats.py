@@ -84,3 +84,27 @@ def test_converter_makes_scenes(spark, tmp_path, kind):
     points, tris, rays = files.load(spark, a, "rays", b)
     assert (points.count(), tris.count(), rays.count()) == (60, 20, 20)
     assert all(r["dz"] > 0 for r in rays.collect())
+
+
+def test_text_of_many_files_is_read_in_their_order(spark, tmp_path):
+    """Spark deals the largest files first; the first line and all words must still come in the order of the files."""
+    (tmp_path / "long.txt").mkdir()
+    for k, lines in enumerate((["sequenceInt"], [], range(5), range(5, 4000), range(4000, 4002))):
+        (tmp_path / "long.txt" / f"part-{k:05}").write_text("".join(f"{x}\n" for x in lines))
+    for width in ("128m", "3k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+        try:
+            assert rows(files.load(spark, str(tmp_path / "long.txt")), "idx") == [(k, k) for k in range(4002)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_graph_in_many_files(spark, tmp_path):
+    edges = spark.range(3000).selectExpr("id % 50 AS u", "id DIV 50 + 1000 AS v")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_graph(edges, files.rows_of(edges), str(tmp_path / "g.txt"), "AdjacencyGraph")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert rows(files.load(spark, str(tmp_path / "g.txt")), "u", "v") == rows(edges, "u", "v")
