@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import blocks
+from ..plans.tables import settle
+
 
 def dot(a: Column, b: Column) -> Column:
     """Of two arrays of equal length."""
@@ -29,7 +32,10 @@ def transpose(matrix: DataFrame) -> DataFrame:
 def block_transpose(items: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Blocks of varying length moved from row order to column order.
 
-    items: idx, v. sources: r, c, start, length of each block; targets: r, c, to. Each item goes to the place of its block plus its place within it.
+    items: idx, v. sources: r, c, start, length of each block; targets: r, c, to. Each item goes to the place of its block plus its place within it: its block is the last that starts
+    at or before it, told by a scan, as blocks may have any size.
     """
-    moved = sources.join(targets, ["r", "c"]).where("length > 0").select(F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("k"), "start", "to")
-    return moved.select((F.col("start") + F.col("k")).alias("idx"), (F.col("to") + F.col("k")).alias("place")).join(items, "idx").select(F.col("place").alias("idx"), "v")
+    heads = sources.join(targets, ["r", "c"]).where("length > 0").select(F.col("start").cast("long").alias("idx"), F.struct("start", "length", "to").alias("block"))
+    marked = settle(items.select("idx", "v").join(heads, "idx", "left"), "block-heads")
+    told = blocks.scan(marked, "block", "max", None, out="block").where("idx < block.start + block.length")
+    return told.select((F.col("block.to") + F.col("idx") - F.col("block.start")).alias("idx"), "v")

@@ -283,3 +283,21 @@ def test_multipole_forces_of_few(spark):
     assert [tuple(r)[1:] for r in few([(1, 1.0, 1.0, 1.0, 2.0), (2, 1.0, 1.0, 1.0, 3.0)])] == [(0.0, 0.0, 0.0)] * 2
     a, b = few([(1, 0.0, 0.0, 0.0, 2.0), (2, 2.0, 0.0, 0.0, 3.0)])
     assert np.allclose(tuple(a)[1:], (1.5, 0, 0)) and np.allclose(tuple(b)[1:], (-1.5, 0, 0))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_any_size_are_moved_without_listing_their_places(spark):
+    """One block of 20,000 items, empty ones and single items; items outside all blocks go. No place is made by explode, as such rows were broadcast."""
+    lengths = [20_000, 0, 1, 3, 0, 4096, 1]
+    starts = [0, *itertools.accumulate(lengths)][:-1]
+    sources = spark.createDataFrame([(k, 0, s, n) for k, (s, n) in enumerate(zip(starts, lengths, strict=True))], "r long, c long, start long, length long")
+    places = [1_000_000 * (len(lengths) - k) for k in range(len(lengths))]
+    targets = spark.createDataFrame([(k, 0, p) for k, p in enumerate(places)], "r long, c long, to long")
+    n = sum(lengths)
+    moved = linalg.block_transpose(spark.range(n + 5).selectExpr("id AS idx", "id * 7 AS v"), sources, targets)
+    assert "Generate" not in plan_of(moved)
+    want = sorted((p + i, (s + i) * 7) for s, p, m in zip(starts, places, lengths, strict=True) for i in range(m))
+    assert in_order(moved, "idx", "v") == want
