@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import blocks, rounds
-from ..plans.tables import release, settle
+from ..plans.tables import dealt, release, settle
 from ..sources.generators import unit
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    """Each edge in both directions, once."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return dealt(both, 2 * edges.count(), "u", "v").distinct()
 
 
 def edge_array(adjacency: DataFrame) -> DataFrame:
     """eid, u, v of each undirected edge once (u < v), ids in order of (u, v)."""
-    return blocks.dense_index(adjacency.select("u", "v").where("u < v").distinct(), "u", "v", name="eid")
+    once = settle(adjacency.select("u", "v").where("u < v").distinct(), "edges")
+    return blocks.dense_index(once, "u", "v", name="eid", rows=once.count())
 
 
 def weighted_edge_array(adjacency: DataFrame, seed: int = 0) -> DataFrame:
@@ -36,13 +39,13 @@ def bfs(edges: DataFrame, source: int) -> tuple[DataFrame, int]:
 
     A parent is the smallest vertex of the round before with an edge to the vertex.
     """
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, settle(edges.select("u", "v"), "bfs-edges")
     frontier = spark.range(1).select(F.lit(source).cast("long").alias("vertex"), F.lit(0).alias("distance"), F.lit(None).cast("long").alias("parent"))
     visited, k = settle(frontier, "bfs"), 0
     frontier = visited
     while not frontier.isEmpty():
         k += 1
-        reached = frontier.select(F.col("vertex").alias("u")).join(edges.select("u", "v"), "u").groupBy(F.col("v").cast("long").alias("vertex")).agg(F.min("u").cast("long").alias("parent"))
+        reached = frontier.select(F.col("vertex").alias("u")).join(edges, "u").groupBy(F.col("v").cast("long").alias("vertex")).agg(F.min("u").cast("long").alias("parent"))
         fresh = reached.join(visited, "vertex", "left_anti").select("vertex", F.lit(k).alias("distance"), "parent")
         frontier = settle(fresh, "bfs")
         visited = visited.unionByName(frontier)
@@ -143,4 +146,5 @@ def vertices_of(edges: DataFrame) -> DataFrame:
 
 def adjacency(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """vertex, neighbours (ascending): the list form, for output only."""
-    return edges.groupBy(F.col("u").alias("vertex")).agg(F.sort_array(F.collect_list("v")).alias("neighbours"))
+    edges = settle(edges.select(F.col("u").alias("vertex"), "v"), "edges")
+    return dealt(edges, edges.count(), "vertex").groupBy("vertex").agg(F.sort_array(F.collect_list("v")).alias("neighbours"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import settle
+from .tables import pieces, settle
 
 BLOCK = 4096
 
@@ -25,9 +25,13 @@ MONOIDS: dict[str, tuple[Callable, Callable]] = {
 }
 
 
-def dense_index(df: DataFrame, *order: Column | str, name: str = "idx") -> DataFrame:
-    """df with the position of each row in the given total order, from 0: a range-partitioned sort, a count for each partition, and no global window."""
-    rows = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "sorted")
+def dense_index(df: DataFrame, *order: Column | str, name: str = "idx", rows: int | None = None) -> DataFrame:
+    """df with the position of each row in the given total order, from 0: a range-partitioned sort, a count for each partition, and no global window.
+
+    Where the number of rows is known, so many ranges are made that a task sorts about MOST of them at most.
+    """
+    ranges = df.repartitionByRange(*order) if rows is None else df.repartitionByRange(pieces(df.sparkSession, rows), *order)
+    rows = settle(ranges.sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "sorted")
     rows = rows.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
     upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition, so that the rows need no second shuffle
     base = rows.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__b"))

@@ -39,6 +39,25 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, to be joined by shuffles. Spark takes rows made by explode for no more than those before it, and would send them all through the driver."""
+    return df.hint("merge")
+
+
+#: Rows of one task of a plan that keeps its rows in memory, and the least that are worth a task.
+MOST, LEAST = 1 << 19, 1 << 13
+
+
+def pieces(spark: SparkSession, rows: int) -> int:
+    """So many that each has about MOST of the rows at most, whatever the session's number of partitions."""
+    return max(1, min(spark.sparkContext.defaultParallelism, rows // LEAST), -(-rows // MOST))
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, which has or will have about so many rows, by hashes of keys in pieces()."""
+    return df.repartition(pieces(df.sparkSession, rows), *keys)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -301,3 +301,71 @@ def test_blocks_of_any_size_are_moved_without_listing_their_places(spark):
     assert "Generate" not in plan_of(moved)
     want = sorted((p + i, (s + i) * 7) for s, p, m in zip(starts, places, lengths, strict=True) for i in range(m))
     assert in_order(moved, "idx", "v") == want
+
+
+def test_plans_of_many_rows_deal_them_by_their_number(spark):
+    """More rows than a task may hold are dealt to more tasks than the session's partitions: adjacency, both directions, words of texts, triangles."""
+    from sparkloom.plans import tables
+
+    edges = spark.range(200).selectExpr("id % 10 AS u", "id + 100 AS v")
+    most, tables.MOST = tables.MOST, 10
+    try:
+        assert graph.symmetric(edges).rdd.getNumPartitions() == 40
+        assert graph.adjacency(spark, edges).rdd.getNumPartitions() == 20
+        assert spatial.topology(edges.selectExpr("u AS tid", "u AS a", "v AS b", "v + 1 AS c")).rdd.getNumPartitions() == 120
+        assert graph.edge_array(edges).count() == 200
+        counts = text.word_counts(spark.createDataFrame([(1, "a b a " * 100), (2, "c"), (1, "b"), (3, None)], "k int, t string"), "k", "t")
+        assert counts.rdd.getNumPartitions() == 10 and sorted(map(tuple, counts.collect())) == [(1, "a", 200), (1, "b", 101), (2, "c", 1)]
+    finally:
+        tables.MOST = most
+
+
+@pytest.mark.parametrize("most", [1 << 19, 7])
+def test_matrix_product_in_ranges(spark, most):
+    from sparkloom.plans import tables
+
+    rng = random.Random(4)
+    a, b = ({(rng.randrange(12), rng.randrange(9)): rng.randrange(-5, 6) for _ in range(60)} for _ in range(2))
+    b = {(c, r): v for (r, c), v in b.items()}
+    want = {}
+    for (r, c), v in a.items():
+        for (k, c2), w in b.items():
+            if k == c:
+                want[r, c2] = want.get((r, c2), 0) + v * w
+    make = lambda m: spark.createDataFrame([(*k, v) for k, v in m.items()], "r long, c long, v long")
+    before, tables.MOST = tables.MOST, most
+    try:
+        got = linalg.times(make(a), make(b))
+        assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(r#") == 0, "products are not shuffled"
+        assert {(r["r"], r["c"]): r["v"] for r in got.collect()} == want
+    finally:
+        tables.MOST = before
+
+
+def test_suffixes_of_many_texts_and_of_long_ones(spark, monkeypatch):
+    """Texts ordered whole in one task, cut into runs of 16 bytes, and texts too long for that give what plain sorting gives."""
+    rng = random.Random(5)
+    texts = {k: "".join(rng.choices("ab", k=rng.choice([0, 1, 2, 9, 15, 40]))) for k in range(60)}
+    chars = text.characters(spark.createDataFrame(list(texts.items()), "k int, t string"), "k", "t")
+    want = {}
+    for k, t in texts.items():
+        order = sorted(range(len(t)), key=lambda i, t=t: t[i:])
+        for r, i in enumerate(order):
+            j = order[r + 1] if r + 1 < len(order) else None
+            want[k, i] = (r, None if j is None else next(m for m in range(len(t) + 1) if t[i : i + m + 1] != t[j : j + m + 1] or i + m >= len(t) or j + m >= len(t)))
+    for most in (text.TOGETHER, 16):
+        monkeypatch.setattr(text, "TOGETHER", most)
+        found = text.common_prefixes(chars, text.suffix_array(chars, "k"), "k")
+        assert {(r["k"], r["pos"]): (r["rank"], r["lcp"]) for r in found.collect()} == want
+        assert most < 40 or "Join" not in plan_of(text.common_prefixes(chars, text.suffix_array(chars, "k"), "k"))
+
+
+def test_nearest_among_uneven_and_coincident_points(spark):
+    rng = random.Random(6)
+    pts = [(k, float(rng.randrange(6)), 0.0) for k in range(3000)] + [(3000 + k, 1e6 * rng.random(), 1e3 * rng.random()) for k in range(40)]
+    got = {(r["pid"], r["rank"]): (r["other"], r["distance"]) for r in spatial.nearest(spark.createDataFrame(pts, "pid long, x double, y double"), 3, ["x", "y"]).collect()}
+    at, ids = np.array([p[1:] for p in pts]), np.arange(len(pts))
+    d2 = (at[:, None, 0] - at[None, :, 0]) ** 2 + (at[:, None, 1] - at[None, :, 1]) ** 2
+    np.fill_diagonal(d2, np.inf)
+    order = np.lexsort((np.broadcast_to(ids, d2.shape), d2))[:, :3]
+    assert got == {(p, r + 1): (int(order[p, r]), float(np.sqrt(d2[p, order[p, r]]))) for p in range(len(pts)) for r in range(3)}
