@@ -29,7 +29,7 @@ def suffix_common_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \\t\\r\\n\\x00]+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.words(read(spark, sf_dir, "documents"), "text", "doc_id").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return text.word_counts(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS whole, printf('%.11e', o_totalprice) AS real FROM orders")
