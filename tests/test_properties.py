@@ -369,3 +369,8 @@ def test_nearest_among_uneven_and_coincident_points(spark):
     np.fill_diagonal(d2, np.inf)
     order = np.lexsort((np.broadcast_to(ids, d2.shape), d2))[:, :3]
     assert got == {(p, r + 1): (int(order[p, r]), float(np.sqrt(d2[p, order[p, r]]))) for p in range(len(pts)) for r in range(3)}
+
+
+def test_rows_of_explode_are_not_broadcast(spark):
+    bodies = spark.range(300).selectExpr("id", "id * 7 % 101 AS x", "id * 13 % 103 AS y", "id * 17 % 107 AS z", "1.0D AS mass")
+    assert "BroadcastHashJoin" not in plan_of(spatial.approximate_forces(bodies))
